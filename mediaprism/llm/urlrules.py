@@ -44,7 +44,7 @@ def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def with_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
-    """Adds host, path and node, each computed once.
+    """Adds host, path and node, each computed once (put no filter right above: Catalyst would repeat the parsing in it).
 
     The node names a URL in the equivalence: host, path and query, without scheme and fragment; null if there is no host.
     """
@@ -67,7 +67,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     tags = seen.select("url", F.regexp_extract("html", _CANONICAL, 0).alias("tag"), F.regexp_extract("html", _REFRESH, 0).alias("meta"))
     canonical = F.concat(*(F.regexp_extract("tag", _HREF, i) for i in (1, 2, 3)))
     each = tags.select("url", F.explode(F.array(canonical, F.regexp_extract("meta", _REFRESH_URL, 1))).alias("to")).filter("to <> ''")
-    each = with_parts(each, "url").withColumn("to", F.trim(F.replace("to", F.lit("&amp;"), F.lit("&"))))
+    each = with_parts(stored(each, "targets"), "url").withColumn("to", F.trim(F.replace("to", F.lit("&amp;"), F.lit("&"))))
     folder = F.when(F.col("path") == "", "/").otherwise(F.regexp_extract("path", "^(.*/)", 1))
     root = F.concat(F.lit("http://"), "host")
     absolute = (
@@ -75,7 +75,7 @@ def page_links(pages: DataFrame) -> DataFrame:
         .when(F.col("to").startswith("/"), F.concat(root, "to")).when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None).otherwise(F.concat(root, folder, "to"))
     )
     target = with_parts(each.withColumn("target", absolute), "target", "to_")
-    return target.select(F.col("node").alias("a"), F.col("to_node").alias("b")).filter("a <> b")
+    return target.select(F.col("node").alias("a"), F.col("to_node").alias("b"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None) -> DataFrame:
@@ -87,8 +87,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
     links = page_links(pages)
     if redirects is not None:
         known = with_parts(with_parts(redirects.select("url", "target"), "url"), "target", "to_")
-        links = links.unionAll(known.select(F.col("node").alias("a"), F.col("to_node").alias("b")).filter("a <> b"))
-    classes = components(links)
+        links = links.unionAll(known.select(F.col("node").alias("a"), F.col("to_node").alias("b")))
+    classes = components(stored(links, "links"))  # stored first: else filters above would repeat the parsing below
     judged = with_parts(pages.select("page_id", "url"), "url").withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     out = ["page_id", "host", "path", F.col("best.rule").alias("rule")]
     if classes.isEmpty():
