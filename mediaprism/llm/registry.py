@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, quality, tokens, urlrules
+from . import crosspolytope, cube, packing, quality, simhash, substrings, tokens, toxicity, urlrules
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.query,
+    "op3_mixing": cube.query,
+    "op4_nearest_neighbours": crosspolytope.query,
     "op5_quality_rules": quality.query,
+    "op6_toxicity": toxicity.query,
+    "op7_substring_dedup": substrings.query,
     "op8_token_counts": tokens.query,
     "op9_best_fit_packing": packing.query,
     "op10_url_filters": urlrules.query,
