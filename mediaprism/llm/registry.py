@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import crosspolytope, cube, packing, quality, simhash, substrings, tokens, toxicity, urlrules
+import corpus_pipeline
+
+from . import crosspolytope, cube, extraction, packing, quality, simhash, substrings, tokens, toxicity, urlrules
 
 QUERIES = {
+    "op1_html_extraction": extraction.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_mixing": cube.query,
     "op4_nearest_neighbours": crosspolytope.query,
@@ -14,5 +17,6 @@ QUERIES = {
     "op8_token_counts": tokens.query,
     "op9_best_fit_packing": packing.query,
     "op10_url_filters": urlrules.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op5_quality_rules": quality.ORACLE_SQL, "op10_url_filters": urlrules.ORACLE_SQL}
