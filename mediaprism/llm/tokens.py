@@ -11,10 +11,12 @@ result.  Very long texts are streamed piece by piece; other columns are not look
 
 from __future__ import annotations
 
+import base64
 import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import public_tokenizers
 import pyarrow as pa
@@ -30,6 +32,8 @@ LIMIT = 512
 FREQUENT, MAX_PIECE = 32_768, 48
 #: Pieces in a worker's own cache, which is emptied when it is full.
 CACHE = 400_000
+#: Longer pieces go to the library itself.
+LONG = 2000
 CUT = re.compile(r" (?=\S)")
 
 
@@ -50,6 +54,18 @@ class Pieces(dict):
         return out
 
 
+def _fast(path: str):
+    """The same vocabulary for tiktoken, which encodes short pieces several times faster and gives the same ids (tested
+    against the library); None if there is no such file beside it."""
+    import tiktoken
+
+    ranks = Path(path).with_suffix(".tiktoken")
+    if not ranks.exists():
+        return None
+    merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
+    return tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+
+
 class Encoder:
     """The library's encoder for one vocabulary file, with a cache of pieces for one kind of result."""
 
@@ -61,7 +77,9 @@ class Encoder:
         self.tokenizer.no_padding()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.one = lambda text: result(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        self.pieces = Pieces(self.one, known)
+        fast = _fast(path)
+        short = (lambda text: result(fast(text)) if len(text) <= LONG else self.one(text)) if fast else self.one
+        self.pieces = Pieces(short, known)
 
     def parts(self, text: str) -> list:
         """Results of the pieces of a text, in order."""
