@@ -139,7 +139,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     length, first, base_, offset_ = (np.array(x, dtype=np.int64) for x in zip(*slots, strict=True)) if slots else (np.zeros(0, np.int64),) * 4
     span = max(counts.values(), default=0) + 1  # (length, rank) as one number; under 2**63 up to 10**15 pieces
 
-    group = max(1000, sum(counts.values()) // 1_000_000)  # at most a million groups and one for each length
+    group = max(200, sum(counts.values()) // 1_000_000)  # at most a million groups and one for each length
     salts = F.element_at(F.array(*(F.lit(max(1, counts.get(x, 0) // group)) for x in range(1, capacity + 1))), F.col("length").cast("int"))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
