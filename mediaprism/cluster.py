@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,9 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(package.rglob("*.py")):
             out.write(file, file.relative_to(package.parent))
     spark.sparkContext.addPyFile(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small input with fewer partitions than cores over all cores; large inputs, which have more, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

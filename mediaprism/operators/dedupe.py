@@ -137,7 +137,11 @@ def group_size_variants(df: DataFrame, url: Url | None = None) -> DataFrame:
         return frame.assign(variant=out)
 
     schema = f"variant_host string, variant_key string, __ratio double, first {df.schema['ord'].dataType.simpleString()}, variant {df.schema['ord'].dataType.simpleString()}"
-    named = entries.groupBy(*keys).applyInPandas(seeds, schema).drop("first")
+    # keys with one ratio, nearly all, need no Python
+    several = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    entries = entries.join(several, keys)
+    single = entries.filter("__n = 1").select(*keys, "__ratio", F.col("first").alias("variant"))
+    named = single.unionByName(entries.filter("__n > 1").drop("__n").groupBy(*keys).applyInPandas(seeds, schema).drop("first"))
     return df.withColumn("__ratio", ratio).join(named, [*keys, "__ratio"]).drop("__ratio")
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import ship
+from .cluster import ship, spread
 from .functions import detect as D
 from .functions import filenames as N
 from .functions import mime as M
@@ -81,11 +81,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_url(table(spark, sf_dir, "pages").select("page_id", "url"), "url")
+    return with_url(spread(table(spark, sf_dir, "pages").select("page_id", "url")), "url")
 
 
 def media(spark: SparkSession, sf_dir: str, parsed: bool = True) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     rows = part.selectExpr("CAST(p_partkey AS BIGINT) AS ord", "CAST(p_partkey % 20 AS INT) AS k", f"{URL_SQL} AS url", f"{WIDTH_SQL} AS width", f"{HEIGHT_SQL} AS height", f"{SIZE_SQL} AS file_size")
     return with_url(rows, "url") if parsed else rows
 
@@ -425,7 +425,7 @@ def safe_page_urls(spark, sf_dir):
   FROM d WHERE NOT contains(href, '.') OR regexp_matches(href, '(?i)^(doc|pdf|download|file|attachment|export|image|img|photo|picture)') GROUP BY ALL""")
 def html_links(spark, sf_dir):
     """Items of whole pages by type; relative links are resolved against the page."""
-    items = H.html_items(table(spark, sf_dir, "pages"), base_url="url")
+    items = H.html_items(spread(table(spark, sf_dir, "pages")), base_url="url")
     return items.groupBy("page_id", "media_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -439,7 +439,7 @@ MARKUP_SQL = """concat('<a href="https://example.com/full', CAST(p_partkey AS ST
   ('v', 'image', 'primary'), ('v.mp4', 'video', 'secondary'), ('poster.jpg', 'image', 'secondary'), ('a', 'image', 'primary'), ('full', 'image', 'unknown'), ('report.pdf', 'document', 'unknown')) AS t(i, media_type, hint)""")
 def html_media(spark, sf_dir):
     """All passes of the HTML reader on made-up markup."""
-    part = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{MARKUP_SQL} AS html", "'https://example.com/x/' AS base")
+    part = spread(table(spark, sf_dir, "part")).selectExpr("p_partkey", f"{MARKUP_SQL} AS html", "'https://example.com/x/' AS base")
     items = H.html_items(part, base_url="base", key="p_partkey")
     name = F.when(F.contains("url", F.lit("/full")), "full").when(F.contains("url", F.lit("/i/")), "png").otherwise(F.substring_index("url", "/", -1))
     return items.select("p_partkey", name.alias("item"), "media_type", "hint")
@@ -475,7 +475,7 @@ def file_listing(spark, sf_dir):
 def payload_sources(spark, sf_dir):
     """Files, HTML, a URI list with an embedded URL and plain text of drop payloads, in that order."""
     data = """map('text/html', '<img src="https://e.com/h.png">', 'text/uri-list', concat('# list\\r\\nhttps://e.com/v.mp4\\nhttps://w.com/o?url=', 'https%3A%2F%2Fe.com%2Fd.pdf'), 'text/plain', 'hear https://e.com/s.mp3!! and https://e.com/h.png')"""
-    df = table(spark, sf_dir, "part").selectExpr("p_partkey AS payload_id", "array(named_struct('name', 'a.b.JPG', 'type', 'image/jpeg', 'size', 10L), named_struct('name', 'x.bin', 'type', 'application/x', 'size', 1L)) AS files", f"{data} AS data")
+    df = spread(table(spark, sf_dir, "part")).selectExpr("p_partkey AS payload_id", "array(named_struct('name', 'a.b.JPG', 'type', 'image/jpeg', 'size', 10L), named_struct('name', 'x.bin', 'type', 'application/x', 'size', 1L)) AS files", f"{data} AS data")
     return X.payload_items(df).select("payload_id", "ord", "source", "media_type", "hint")
 
 
@@ -513,5 +513,5 @@ def extracted_single_urls(spark, sf_dir):
   SELECT page_id, count(*) AS n FROM d WHERE NOT contains(href, '.') OR regexp_matches(href, '(?i)^(doc|pdf|download|file|attachment|export|image|img|photo|picture)') GROUP BY ALL""")
 def extracted_pages(spark, sf_dir):
     """The whole pipeline over pages."""
-    items = Extractor(scanner=security.Scanner(mode="permissive")).from_html(table(spark, sf_dir, "pages"), base_url="url").items
+    items = Extractor(scanner=security.Scanner(mode="permissive")).from_html(spread(table(spark, sf_dir, "pages")), base_url="url").items
     return items.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
