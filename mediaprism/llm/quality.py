@@ -2,7 +2,8 @@
 
 Base rules look at one document; the method then looks at its host (``source``): failures are counted by host, each
 host's failure rate is shrunk with a beta prior that is fitted to all hosts by moments, and the documents of a host whose
-shrunk rate is above ``max_host_rate`` are not kept.
+shrunk rate is above ``max_host_rate`` are not kept.  Shrinking only ever clears a host: where most documents of the corpus
+fail, a host whose own rate isn't above the limit isn't condemned by the others.
 
 Null or empty texts have no words and fail the base rules.  A null host is a host of its own.  Repeated rows are counted
 and returned as often as they come.  An empty table gives an empty result; further columns are not looked at.
@@ -67,7 +68,8 @@ def host_verdicts(counts: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> Da
     between = max((square / n - mean * mean) - inside * k / n, 0.0) if n else 0.0
     weight = min(max(inside / between - 1, 1.0), 10_000.0) if between > 0 else 10_000.0
     shrunk = (F.col("n_failed") + F.lit(weight * mean)) / (F.col("n_docs") + F.lit(weight))
-    return hosts.select("source", "n_docs", "n_failed", shrunk.alias("rate"), (shrunk > max_host_rate).alias("bad"))
+    bad = (shrunk > max_host_rate) & (rate > max_host_rate)
+    return hosts.select("source", "n_docs", "n_failed", shrunk.alias("rate"), bad.alias("bad"))
 
 
 def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -101,7 +103,7 @@ WITH d AS (
 ), g AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS sq, count(*) / sum(n) AS kn FROM h
 ), v AS (SELECT m, greatest(sq - m * m - m * (1 - m) * kn, 0) AS bt FROM g
 ), wt AS (SELECT m, CASE WHEN bt > 0 THEN least(greatest(m * (1 - m) / bt - 1, 1), 10000) ELSE 10000 END AS wgt FROM v
-), bad AS (SELECT source FROM h, wt WHERE (f + wgt * m) / (n + wgt) > 0.5)
+), bad AS (SELECT source FROM h, wt WHERE (f + wgt * m) / (n + wgt) > 0.5 AND f / n > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept FROM b
 """
