@@ -9,12 +9,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+
 #: Java form of the word separators.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,18 +22,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _made: dict[str, str] = {}
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that their Python workers can import it."""
-    key = f"{spark.sparkContext.applicationId} package"
-    if key not in _made:
-        package = Path(__file__).resolve().parents[1]
-        _made[key] = f"{tempfile.mkdtemp()}/{package.name}.zip"
-        with zipfile.ZipFile(_made[key], "w") as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        spark.sparkContext.addPyFile(_made[key])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
     ship(spark)

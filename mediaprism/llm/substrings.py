@@ -206,7 +206,7 @@ def _kept(window: int, wanted: bool):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digest, texts = [], [], [], []
-            for text, ranges in zip(batch.column("text"), batch.column("ranges"), strict=True):
+            for text, ranges in zip(batch.column("text"), batch.column("__ranges"), strict=True):
                 found = text.as_py().encode().split() if text.is_valid else []
                 n_words.append(len(found))
                 if ranges.is_valid:
@@ -222,9 +222,9 @@ def _kept(window: int, wanted: bool):
                 else:
                     digest.append(hashlib.sha256(b" ".join(found)).hexdigest())
             if wanted:
-                kept = [batch.column(i) for i, x in enumerate(batch.schema.names) if x != "ranges"]
+                kept = [batch.column(i) for i, x in enumerate(batch.schema.names) if x != "__ranges"]
                 kept[batch.schema.names.index("text")] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*kept], [x for x in batch.schema.names if x != "ranges"])
+                yield pa.RecordBatch.from_arrays([*kept], [x for x in batch.schema.names if x != "__ranges"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -232,14 +232,14 @@ def _kept(window: int, wanted: bool):
 
 
 def _with_ranges(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    found = repeated_ranges(docs, window, gram).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), "ranges")
+    found = repeated_ranges(docs, window, gram).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("ranges").alias("__ranges"))
     joined = docs.withColumn("__text_hash", F.xxhash64("text"))
-    return joined.join(found, joined["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__h")), "left").select(*docs.columns, "ranges")
+    return joined.join(found, joined["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__h")), "left").select(*docs.columns, "__ranges")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs with the words left in ``text``, joined by one space; a text that loses nothing stays as it is.  All columns
-    are kept; ``n_chars``, if there, is counted anew.  The input must not have a column named ``ranges``."""
+    are kept; ``n_chars``, if there, is counted anew."""
     out = _with_ranges(docs, window, gram).mapInArrow(_kept(window, True), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 

@@ -101,8 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     return fit([(np.frombuffer(r["places"], np.uint32), r["label"]) for r in order])
 
 
-def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: bool = False) -> DataFrame:
-    """Adds ``score`` to docs(doc_id, text): (doc_id, score), or all columns and the score if ``keep``."""
+def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: bool = False, name: str = "score") -> DataFrame:
+    """docs(doc_id, text) -> doc_id and the score, or all columns and the score if ``keep``; ``name`` names the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs if keep else docs.select("doc_id", "text")
     out = docs.schema if keep else docs.select("doc_id").schema
@@ -118,14 +118,14 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], ke
                 at = np.unique(at[dense[at] != 0])
                 got.append(1 / (1 + np.exp(-np.clip(float(dense[at].sum(dtype=np.float64)) + intercept, -35, 35))))
             names = [f.name for f in out]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(got, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(got, pa.float64())], [*names, name])
 
-    return docs.mapInArrow(scored, partial(type(out), list(out.fields))().add("score", "double"))
+    return docs.mapInArrow(scored, partial(type(out), list(out.fields))().add(name, "double"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below ``threshold``, with all their columns; one of these must not be ``score``."""
-    return score_texts(docs, train(docs, labels), keep=True).filter(F.col("score") < threshold).drop("score")
+    """The rows of docs that score below ``threshold``, with all their columns."""
+    return score_texts(docs, train(docs, labels), keep=True, name="__score").filter(F.col("__score") < threshold).drop("__score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
