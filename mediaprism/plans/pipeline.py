@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import tables as T
 from ..functions.detect import media_type, with_detection
 from ..functions.filenames import extension, filename
-from ..functions.mime import mime_of_extension
+from ..functions.mime import mime_of_bytes, mime_of_extension
 from ..functions.urls import Url, is_absolute, normalize, with_url
 from ..operators.dedupe import DedupeOptions, deduplicate
 from ..operators.filters import FILTER_PRESETS, FilterConfig, apply_filters
@@ -68,9 +68,9 @@ class Extractor:
         invalid = df.filter(~F.coalesce(good, F.lit(False))).agg(F.count(F.lit(1)).alias("invalid_urls"))
         return self._result(self._typed(items, threshold=True), invalid)
 
-    def from_html(self, df: DataFrame, html: str = "html", base_url: str | None = None, key: str = "page_id") -> Result:
-        """Items of each page; the threshold doesn't apply to them."""
-        items = html_items(df, html, base_url, key).filter(is_absolute(F.col("url"))).withColumn("sub", F.lit(0))
+    def from_html(self, df: DataFrame, html: str = "html", base_url: str | None = None, key: str = "page_id", mode: str = "html") -> Result:
+        """Items of each page; the threshold doesn't apply to them.  ``mode="dom"`` walks elements in document order."""
+        items = html_items(df, html, base_url, key, mode=mode).filter(is_absolute(F.col("url"))).withColumn("sub", F.lit(0))
         return self._result(self._typed(items, threshold=False, carry=(key,)), carry=(key,))
 
     def from_payloads(self, df: DataFrame, source: str = "drop", key: str = "payload_id") -> Result:
@@ -84,6 +84,15 @@ class Extractor:
         items = file_items(df).withColumns({"url": F.concat(F.lit("file:"), "name"), "confidence": F.lit(1.0), "hint": F.lit("unknown"), "dedupe_key": F.col("name"), "sub": F.lit(0)})
         return self._result(self._typed(items, threshold=False), filtered=False)
 
+    def extract(self, df: DataFrame) -> Result:
+        """df(ord, source): absolute URLs are taken as such, other strings as HTML."""
+        absolute = F.coalesce(is_absolute(F.col("source")), F.lit(False))
+        urls = self.from_url(df.filter(absolute).select("ord", F.col("source").alias("url")))
+        markup = self.from_html(df.filter(~absolute).select(F.col("ord").alias("page_id"), F.col("source").alias("html")))
+        items = urls.items.unionByName(markup.items.withColumn("ord", F.col("page_id") * (1 << 20) + F.col("ord")).drop("page_id"))
+        stats = urls.stats.unionByName(markup.stats)
+        return Result(items, stats.agg(*(F.sum(c).alias(c) for c in stats.columns)))
+
     def from_all(self, results: list[Result]) -> Result:
         """Several results in order: best of each normal form, filters once more, then the limit."""
         parts = [r.items.withColumn("__source", F.lit(i)) for i, r in enumerate(results)]
@@ -144,3 +153,22 @@ def detect_urls(df: DataFrame, url: str = "url", threshold: float = 0.5) -> Data
     u = Url(url)
     df = with_detection(with_url(df, url), u)
     return df.withColumns({"media_type": media_type(F.col("detection"), threshold), "extension": extension(u), "filename": filename(u), "normalized": normalize(u)})
+
+
+def quick_scan(df: DataFrame, url: str = "url") -> DataFrame:
+    """Adds ``security`` with the default scanner."""
+    return Scanner().scan(with_url(df, url), Url(url)).drop(f"{url}_parts", f"{url}_parts_params")
+
+
+def with_verdicts(df: DataFrame, url: str = "url", scanner: Scanner | None = None) -> DataFrame:
+    """Adds is_blocked (lists and scripts only) and is_safe (the whole scan)."""
+    scanner, u = scanner or Scanner(), Url(url)
+    df = scanner.is_safe(with_url(df, url), u)
+    return df.withColumn("is_blocked", scanner.is_blocked(u)).drop(f"{url}_parts", f"{url}_parts_params")
+
+
+def binary_files(spark, path: str) -> DataFrame:
+    """(ord, name, type, size) of the files below a path, types by their first bytes; for ``from_files``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.xxhash64("path").alias("ord"), name.alias("name"), F.coalesce(mime_of_bytes(F.substring("content", 1, 16)), F.lit("")).alias("type"), F.col("length").alias("size"))

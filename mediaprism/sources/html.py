@@ -214,9 +214,11 @@ def candidates(html: str, base: str | None, types: tuple[str, ...], selectors: t
     return out
 
 
-def html_items(df: DataFrame, html: str = "html", base_url: str | None = None, key: str = "page_id", media_types: tuple[str, ...] = T.MEDIA_TYPES, **options) -> DataFrame:
+def html_items(df: DataFrame, html: str = "html", base_url: str | None = None, key: str = "page_id", media_types: tuple[str, ...] = T.MEDIA_TYPES, mode: str = "html", **options) -> DataFrame:
     """One row for each item of each page: key, ord, and the item's columns; first seen wins within a page.
 
+    ``mode="dom"`` walks the elements in document order instead of pass by pass (see ``dom``).
+
     Items without a wanted type are dropped where a pass asks for one; images keep ``unknown``, video and audio fall back
     to their element's type.
     """
@@ -224,9 +226,12 @@ def html_items(df: DataFrame, html: str = "html", base_url: str | None = None, k
     base = F.col(base_url) if base_url else F.lit(None).cast("string")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .dom import dom_candidates
+
+        find = dom_candidates if mode == "dom" else candidates
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         for x in frames:
-            rows = [(k, *r) for k, h, b in zip(x["key"], x["html"], x["base"], strict=True) for r in candidates(h or "", b, media_types, **options)]
+            rows = [(k, *r) for k, h, b in zip(x["key"], x["html"], x["base"], strict=True) for r in find(h or "", b, media_types, **options)]
             yield pd.DataFrame(rows, columns=["key", *names])
 
     raw = df.select(F.col(key).alias("key"), F.col(html).alias("html"), base.alias("base")).mapInPandas(read, f"key {kind}, {COLUMNS}")
@@ -242,4 +247,4 @@ def html_items(df: DataFrame, html: str = "html", base_url: str | None = None, k
     wanted = (F.col("wanted") == "") | ((F.col("wanted") == "*") & found.isin(*media_types)) | (F.col("wanted") == found)
     first = F.row_number().over(Window.partitionBy("key", "dedupe_key").orderBy("pos"))
     items = items.filter(wanted).withColumn("__first", first).filter("__first = 1")
-    return items.select(F.col("key").alias(key), F.col("pos").cast("long").alias("ord"), "url", F.lit("html-element").alias("source"), "media_type", "format", "filename", "hint", "confidence", "dedupe_key", "width", "height", "alt", "title", "srcset", "link_url")
+    return items.select(F.col("key").alias(key), F.col("pos").cast("long").alias("ord"), "url", F.lit(f"{mode}-element").alias("source"), "media_type", "format", "filename", "hint", "confidence", "dedupe_key", "width", "height", "alt", "title", "srcset", "link_url")

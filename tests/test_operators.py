@@ -174,3 +174,37 @@ def test_streaming(spark, tmp_path):
         q.stop()
     assert spark.table("firsts").count() == 2
     assert {(r.media_type, r.n) for r in spark.table("kinds").collect()} == {("image", 2), ("video", 1)}
+
+
+def test_dom_walk(spark):
+    html = '<div style="display:none"><img src="h.png"></div><img src="a.png" class="thumbnail" style="opacity:0"><video src="v"><source src="w.webm"></video><img src="b.png" width="0" height="9"><img src="c.png" role="icon"><p data-url="https://e.com/z.pdf">'
+    df = spark.createDataFrame([(1, html, "https://e.com/")], "page_id int, html string, base string")
+    items = [(r.url, r.media_type, r.hint, r.source) for r in html_items(df, base_url="base", mode="dom", selectors=("p",)).orderBy("ord").collect()]
+    assert items == [
+        ("https://e.com/h.png", "image", "unknown", "dom-element"), ("https://e.com/v", "image", "unknown", "dom-element"), ("https://e.com/w.webm", "video", "secondary", "dom-element"),
+        ("https://e.com/b.png", "image", "unknown", "dom-element"), ("https://e.com/c.png", "image", "ui-element", "dom-element"), ("https://e.com/z.pdf", "document", "unknown", "dom-element"),
+    ]
+
+
+def test_dispatch_and_files(spark, tmp_path):
+    from mediaprism.plans.pipeline import binary_files, quick_scan, with_verdicts
+
+    df = spark.createDataFrame([(0, "https://e.com/a.jpg"), (1, '<img src="https://e.com/b.png"><img src="https://e.com/c.png">'), (2, None)], "ord long, source string")
+    out = Extractor().extract(df)
+    assert sorted(r.url for r in out.items.collect()) == ["https://e.com/a.jpg", "https://e.com/b.png", "https://e.com/c.png"] and out.stats.first().items_extracted == 3
+    urls = spark.createDataFrame([("https://e.com/a.jpg",), ("https://e.com/?x=<script>",)], "url string")
+    assert [(r.is_blocked, r.is_safe) for r in with_verdicts(urls).collect()] == [(False, True), (True, False)] and quick_scan(urls).columns == ["url", "security"]
+    (tmp_path / "x.bin").write_bytes(b"\x89PNG\r\n\x1a\n____")
+    (tmp_path / "y.mp3").write_bytes(b"short")
+    found = {r.filename: r.media_type for r in Extractor().from_files(binary_files(spark, str(tmp_path))).items.collect()}
+    assert found == {"x.bin": "image", "y.mp3": "audio"}
+
+
+def test_payload_flags(spark):
+    from mediaprism.sources.texts import has_media, is_valid_media_url
+
+    df = spark.createDataFrame([([("a", "image/png", 1)], {}), ([], {"text/plain": "x"}), (None, {"text/html": "x"}), (None, None)], "files array<struct<name:string,type:string,size:bigint>>, data map<string,string>")
+    assert [r[0] for r in df.select(has_media(F.col("files"), F.col("data"))).collect()] == [True, False, True, False]
+    urls = spark.createDataFrame([("https://example.com/page.html",), ("https://example.com/a.mp4",), ("x.mp4",), (None,)], "url string")
+    assert [r.is_media for r in is_valid_media_url(urls).collect()] == [False, True, False, False]
+    assert [r.is_media for r in is_valid_media_url(urls, media_types=("image",)).collect()] == [False] * 4
