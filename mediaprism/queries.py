@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .api import detect_distinct, with_resolved
 from .cluster import ship, spread
 from .functions import detect as D
 from .functions import filenames as N
@@ -149,6 +150,22 @@ def tracking_stripped(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", sanitize.strip_tracking(URL).alias("stripped"))
 
 
+@query(r"""WITH l AS (SELECT page_id, url, unnest(['a/b.jpg', '/c?x#y', '../d', '//Other.example.com/e', 'https://E.com/F', '#g', '']) AS ref FROM pages), p AS (SELECT *, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS root,
+  regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS path, regexp_extract(url, '(\?[^#]*)', 1) AS query FROM l)
+  SELECT page_id, ref, CASE ref WHEN 'a/b.jpg' THEN root || regexp_extract(path, '^(.*/)', 1) || ref WHEN '/c?x#y' THEN root || ref WHEN '../d' THEN root || regexp_replace(regexp_extract(path, '^(.*/)', 1), '[^/]+/$', '') || 'd'
+    WHEN '//Other.example.com/e' THEN scheme || '://other.example.com/e' WHEN 'https://E.com/F' THEN ref WHEN '#g' THEN root || path || query || ref END AS resolved FROM p""")
+def resolved_urls(spark, sf_dir):
+    """References of every kind against each page's URL."""
+    refs = F.array(*map(F.lit, ("a/b.jpg", "/c?x#y", "../d", "//Other.example.com/e", "https://E.com/F", "#g", "")))
+    rows = spread(table(spark, sf_dir, "pages").select("page_id", "url")).withColumn("ref", F.explode(refs))
+    return with_resolved(rows, "ref", "url").select("page_id", "ref", "resolved")
+
+
+@query(WITH_MEDIA + f" SELECT DISTINCT url, {TYPE_SQL} AS media_type, CAST({CONFIDENCE_SQL} AS DOUBLE) AS confidence FROM m")
+def detect_distinct_urls(spark, sf_dir):
+    return detect_distinct(media(spark, sf_dir, parsed=False)).select("url", F.col("detection.type").alias("media_type"), F.col("detection.confidence").alias("confidence"))
+
+
 # ---- file names and MIME types -------------------------------------------------------------------------------------
 
 _STEM = "regexp_extract(split_part(url, '?', 1), '/([^/]*?)(?:[.][^./]*)?$', 1)"
