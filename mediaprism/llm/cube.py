@@ -6,10 +6,11 @@ taken whole ``floor(target / size)`` times, and once more with the fractional re
 
 Flight: a source's documents are dealt into blocks of about ``block`` rows by a hash.  In a block, three undecided
 documents at a time move along the null space of the constraints "number of documents" and "number of words", until at
-least one of them is decided; two or fewer stay undecided at the end.  The undecided ones of all blocks fly again in
-larger company, level by level, until one block a source is left.  Landing: the last two or fewer documents of a source
-take the decision that brings its words nearest to the target.  So a source misses its target by less than one or two
-documents, whatever its size, and no block holds more than a bounded number of rows.
+least one of them is decided; two or fewer stay undecided at the end, and every 16th document of a block does not fly yet.
+The undecided ones of all blocks fly in the next level, until one block a source is left.  Landing: the last two or fewer
+documents of a source take the decision that brings its words nearest to the target; if they are long ones, single
+decisions of the last block are flipped until no flip brings the words nearer.  So a source misses its target by a few
+words where it has short documents, whatever its size, and no block holds more than a bounded number of rows.
 
 All random choices come from hashes of ids and sizes, so that reruns agree.  Null texts have size 0; a null source is a
 source of its own.  Repeated rows are separate units.  An empty table gives an empty result; sources without words have
@@ -18,6 +19,7 @@ target 0 and ratio 0.  Other columns are not looked at.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATORS, stored, table
 
-WEIGHTS, MAX_REPEATS, BLOCK = (1.0, 2.0, 3.0), 3.0, 1000
+WEIGHTS, MAX_REPEATS, BLOCK, HOLD = (1.0, 2.0, 3.0), 3.0, 1000, 16
 _CLOSE = 1e-9
 
 
@@ -96,13 +98,36 @@ def land(p: list[float], size: list[int], owed: float) -> list[float]:
     return out
 
 
+def repair(p: list[float], size: list[int], owed: float) -> list[float]:
+    """Flips decided units until their words are as near to ``owed`` as single flips bring them: each flip takes the unit
+    whose size is nearest to what is missing or too much, and halves it or better on most data."""
+    out, off = list(p), sum(a * b for a, b in zip(p, size, strict=True)) - owed
+    sides = {v: sorted((size[k], k) for k in range(len(p)) if out[k] == v and size[k]) for v in (0.0, 1.0)}
+    for _ in range(64):
+        units = sides[1.0 if off > 0 else 0.0]
+        at = bisect_left(units, (abs(off), -1))
+        near = min(units[max(0, at - 1) : at + 1], key=lambda u: abs(u[0] - abs(off)), default=None)
+        if near is None or abs(abs(off) - near[0]) >= abs(off):
+            break
+        units.remove(near)
+        out[near[1]] = 1.0 - out[near[1]]
+        insort(sides[out[near[1]]], near)
+        off += near[0] if out[near[1]] else -near[0]
+    return out
+
+
 def _flown(frame: pd.DataFrame, last: bool) -> pd.DataFrame:
-    """A block: new probabilities p; rows are put in an order that depends on their content only, large sizes first."""
+    """A block: new probabilities p; rows are put in an order that depends on their content only, large sizes first.  All
+    but the last flights leave every 16th unit, by its hash, for the next one, so that it has small units to land with."""
     frame = frame.sort_values(["size", "unit", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    p = fly(frame["p"].tolist(), frame["size"].tolist(), _mixed(frame["unit"].to_numpy()).tolist())
+    before, size, chance = frame["p"].tolist(), frame["size"].tolist(), _mixed(frame["unit"].to_numpy())
+    flies = np.flatnonzero(last | (_mixed(frame["unit"].to_numpy() ^ 0x5DEECE66D) >= 1 / HOLD)).tolist()
+    p = list(before)
+    for k, x in zip(flies, fly([before[k] for k in flies], [size[k] for k in flies], [chance[k] for k in flies]), strict=True):
+        p[k] = x
     if last:
-        owed = sum(a * b for a, b in zip(p, frame["size"], strict=True) if 0 < a < 1)
-        p = land(p, frame["size"].tolist(), owed)
+        p = land(p, size, sum(a * b for a, b in zip(p, size, strict=True) if 0 < a < 1))
+        p = repair(p, size, sum(a * b for a, b in zip(before, size, strict=True)))
     return frame.assign(p=p)
 
 
@@ -131,7 +156,7 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, block: int = BLOCK, w
     most, done, level = max((v[1] for v in known.values()), default=0), [], 0
     while True:
         last, seed = most <= block, level
-        n = F.lit(1) if last else F.greatest(F.lit(1), F.floor(F.col("blocks") / F.lit(float(block // 2) ** level)))
+        n = F.lit(1) if last else F.greatest(F.lit(1), F.floor(F.col("blocks") / F.lit(float(HOLD - 1) ** level)))
         dealt = left.withColumn("dealt", F.pmod(F.xxhash64(F.lit(seed), "unit", "doc_id"), n)).groupBy("source", "dealt")
         flown = stored(dealt.applyInPandas(_landing if last else _flight, schema), "flown")
         done.append(flown.filter("p = 0 OR p = 1"))
