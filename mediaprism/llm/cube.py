@@ -116,12 +116,13 @@ def repair(p: list[float], size: list[int], owed: float) -> list[float]:
     return out
 
 
-def _flown(frame: pd.DataFrame, last: bool) -> pd.DataFrame:
+def _flown(frame: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
     """A block: new probabilities p; rows are put in an order that depends on their content only, large sizes first.  All
-    but the last flights leave every 16th unit, by its hash, for the next one, so that it has small units to land with."""
+    but the last flights leave every 16th unit, by a hash of it and the level, for the next one, so that it has small units
+    to land with."""
     frame = frame.sort_values(["size", "unit", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     before, size, chance = frame["p"].tolist(), frame["size"].tolist(), _mixed(frame["unit"].to_numpy())
-    flies = np.flatnonzero(last | (_mixed(frame["unit"].to_numpy() ^ 0x5DEECE66D) >= 1 / HOLD)).tolist()
+    flies = np.flatnonzero(last | (_mixed(frame["unit"].to_numpy() ^ (0x5DEECE66D * (level + 1))) >= 1 / HOLD)).tolist()
     p = list(before)
     for k, x in zip(flies, fly([before[k] for k in flies], [size[k] for k in flies], [chance[k] for k in flies]), strict=True):
         p[k] = x
@@ -131,12 +132,11 @@ def _flown(frame: pd.DataFrame, last: bool) -> pd.DataFrame:
     return frame.assign(p=p)
 
 
-def _flight(frame: pd.DataFrame) -> pd.DataFrame:
-    return _flown(frame.drop(columns="dealt"), False)
+def _flight(level: int, last: bool):
+    def flown(frame: pd.DataFrame) -> pd.DataFrame:
+        return _flown(frame.drop(columns="dealt"), level, last)
 
-
-def _landing(frame: pd.DataFrame) -> pd.DataFrame:
-    return _flown(frame.drop(columns="dealt"), True)
+    return flown
 
 
 def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -158,7 +158,7 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, block: int = BLOCK, w
         last, seed = most <= block, level
         n = F.lit(1) if last else F.greatest(F.lit(1), F.floor(F.col("blocks") / F.lit(float(HOLD - 1) ** level)))
         dealt = left.withColumn("dealt", F.pmod(F.xxhash64(F.lit(seed), "unit", "doc_id"), n)).groupBy("source", "dealt")
-        flown = stored(dealt.applyInPandas(_landing if last else _flight, schema), "flown")
+        flown = stored(dealt.applyInPandas(_flight(level, last), schema), "flown")
         done.append(flown.filter("p = 0 OR p = 1"))
         if last:
             break

@@ -55,6 +55,8 @@ def test_mix(spark, make):
     assert all(abs(taken[s] - goal[s]) <= 2 for s in goal if s in ("a", "b", "c"))
     key = lambda rows: sorted((str(x.doc_id), x.unit, x.taken) for x in rows)
     assert key(out) == key(cube.mix(docs.repartition(7), block=500).collect())
+    deep = cube.mix(docs, block=20).collect()  # several levels
+    assert len(deep) == len(rows) and all(abs(sum(x.taken for x in deep if x.source == s) - goal[s]) <= 60 for s in "abc")
     again = cube.repeat_documents(docs, cube.mix(docs, block=500))
     assert again.columns == docs.columns
     assert sum(len((x.text or "").split()) for x in again.collect()) == sum(taken.values())
