@@ -112,10 +112,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs(doc_id, text, ...) that are the first of their component: smallest id, then text hash; a repeated
-    row stays once.  All columns are kept."""
-    found = near_duplicates(docs, shingle, max_bits)
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that are the first of their component in found(doc_id, text_hash, root): smallest
+    id, then text hash; a repeated row stays once.  All columns are kept."""
     first = stored(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x")).select("x.doc_id", "x.text_hash"), "first")
     row, h = first.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")), F.xxhash64(docs["text"])
     kept = docs.join(row, docs["doc_id"].eqNullSafe(F.col("__id")) & (h == F.col("__h")), "left_semi")
@@ -126,6 +125,11 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     return kept.withColumn("__h", h).dropDuplicates(["doc_id", "__h"]).drop("__h")
 
 
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that are the first of their component."""
+    return first_rows(docs, near_duplicates(docs, shingle, max_bits))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: every row of ``documents``, whole texts."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
