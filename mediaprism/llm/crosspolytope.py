@@ -4,8 +4,9 @@ A table's hash rotates a unit vector with three rounds of random signs and a fas
 nearest signed axis.  Every vector is in one bucket of each table; a query looks into the ``probes`` buckets of each table
 whose axes are nearest to it, and all vectors there are ranked by their exact inner product.
 
-Largest inner product is turned into nearest direction: if norms differ, vectors get one more coordinate that brings all
-of them to the largest norm, and queries get zero there.
+Directions say enough only where norms are equal.  If norms differ, every query is ranked against all vectors, without
+hashing: a long vector can be among the best at any angle, so no set of buckets is safe to leave out.  Queries that find
+fewer than ``k`` rows in their buckets are ranked against all vectors, too.
 
 Equal vectors are one entry of the index with the ``k + 1`` smallest of their ids, which is all that can be in a result
 (the rest only tie behind them), so a vector that a third of the rows share is searched once.  A bucket is handled in
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 TABLES, PROBES, CHUNK, MIN_CANDIDATES, NEIGHBOURS, EVERY = 8, 12, 4096, 4000, 20, 20
+_BLOCK = 512
 
 
 def usable(vector: Column) -> Column:
@@ -107,9 +109,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, tables: in
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     entries = stored(entries.select("vector", "ids", v1, v2, norm.alias("norm")), "entries")
     n, longest, shortest, dim = entries.agg(F.count(F.lit(1)), F.max("norm"), F.min("norm"), F.max(F.size("vector"))).first()
-    lifted = bool(n) and longest - shortest > 1e-6 * longest
+    unequal = bool(n) and longest - shortest > 1e-6 * longest
     dim = dim or 1
-    size = 1 << (dim + lifted - 1).bit_length()
+    size = 1 << (dim - 1).bit_length()
     signs = rotations(tables, size)
     least = -(-min_candidates * 2 * size // (max(n, 1) * tables))
     probes = min(2 * size, max(probes, least))
@@ -117,8 +119,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, tables: in
     def directions(x: np.ndarray, index: bool) -> np.ndarray:
         out = np.zeros((len(x), size))
         out[:, : x.shape[1]] = x / longest if index else x / np.linalg.norm(x, axis=1, keepdims=True)
-        if lifted and index:
-            out[:, dim] = np.sqrt(np.maximum(0, 1 - (out**2).sum(axis=1)))
         return out
 
     def hashed(index: bool):
@@ -134,26 +134,39 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, tables: in
 
     kind = entries.schema["vector"].dataType.simpleString()
     asked = queries.groupBy("v1", "v2").agg(F.any_value("vector").alias("vector"))
-    spread = stored(entries.select("vector", "ids", "v1", "v2").mapInPandas(hashed(True), f"vector {kind}, ids array<bigint>, v1 bigint, v2 bigint, bucket int"), "index")
-    probing = stored(asked.select("vector", "v1", "v2").mapInPandas(hashed(False), f"vector {kind}, v1 bigint, v2 bigint, bucket int"), "probes")
-
-    # how many chunks each bucket has on either side: at most 2 * size * tables rows, a bound by parameters alone
-    count = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(name))
-    chunks = F.broadcast(stored(count(spread, "xs").join(count(probing, "qs"), "bucket"), "chunks"))
     own = lambda n: F.pmod(F.col("v1"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = probing.join(chunks, "bucket").withColumn("q", own("qs")).withColumn("x", every("xs")).select("bucket", "q", "x", "v1", "v2", "vector")
-    right = spread.join(chunks, "bucket").withColumn("x", own("xs")).withColumn("q", every("qs")).select("bucket", "q", "x", "v1", "v2", "vector", "ids")
+    count = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(name))
 
     def ranked(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        return _best(queries, index, dim, k + 1)
-
-    found = left.groupBy("bucket", "q", "x").cogroup(right.groupBy("bucket", "q", "x")).applyInPandas(ranked, "q1 bigint, q2 bigint, v1 bigint, v2 bigint, ids array<bigint>, score double")
-    order = [F.col("score").desc(), F.col("ids")[0]]
-    of_query = Window.partitionBy("q1", "q2")
-    once = found.withColumn("again", F.row_number().over(Window.partitionBy("q1", "q2", "v1", "v2").orderBy("score"))).filter("again = 1")
-    best = once.withColumn("place", F.row_number().over(of_query.orderBy(*order))).filter(F.col("place") <= k + 1)
-    lists = stored(best.groupBy("q1", "q2").agg(F.collect_list(F.struct("v1", "v2", "score", "ids")).alias("near")), "near")
+        return pd.concat([_best(queries.iloc[at : at + _BLOCK], index, dim, k + 1) for at in range(0, max(len(queries), 1), _BLOCK)])
+
+    def nearest(probing: DataFrame, spread: DataFrame) -> DataFrame:
+        """(q1, q2, near): the best rows of spread(vector, ids, v1, v2, bucket) for those of probing(vector, v1, v2, bucket)."""
+        # how many chunks each bucket has on either side: at most 2 * size * tables rows, a bound by parameters alone
+        chunks = F.broadcast(stored(count(spread, "xs").join(count(probing, "qs"), "bucket"), "chunks"))
+        left = probing.join(chunks, "bucket").withColumn("q", own("qs")).withColumn("x", every("xs")).select("bucket", "q", "x", "v1", "v2", "vector")
+        right = spread.join(chunks, "bucket").withColumn("x", own("xs")).withColumn("q", every("qs")).select("bucket", "q", "x", "v1", "v2", "vector", "ids")
+        found = left.groupBy("bucket", "q", "x").cogroup(right.groupBy("bucket", "q", "x")).applyInPandas(ranked, "q1 bigint, q2 bigint, v1 bigint, v2 bigint, ids array<bigint>, score double")
+        order = [F.col("score").desc(), F.col("ids")[0]]
+        of_query = Window.partitionBy("q1", "q2")
+        once = found.withColumn("again", F.row_number().over(Window.partitionBy("q1", "q2", "v1", "v2").orderBy("score"))).filter("again = 1")
+        best = once.withColumn("place", F.row_number().over(of_query.orderBy(*order))).filter(F.col("place") <= k + 1)
+        return stored(best.groupBy("q1", "q2").agg(F.collect_list(F.struct("v1", "v2", "score", "ids")).alias("near")), "near")
+
+    one = F.lit(0).alias("bucket")
+    everything = entries.select("vector", "ids", "v1", "v2", one)
+    if unequal:
+        lists = nearest(asked.select("vector", "v1", "v2", one), everything)
+    else:
+        spread = stored(entries.select("vector", "ids", "v1", "v2").mapInPandas(hashed(True), f"vector {kind}, ids array<bigint>, v1 bigint, v2 bigint, bucket int"), "index")
+        probing = stored(asked.select("vector", "v1", "v2").mapInPandas(hashed(False), f"vector {kind}, v1 bigint, v2 bigint, bucket int"), "probes")
+        lists = nearest(probing, spread)
+        # k + 1, as one of the ids may be the query's own
+        whole = lists.filter(F.aggregate("near", F.lit(0), lambda n, e: n + F.size(e["ids"])) > k)
+        missed = stored(asked.join(whole.select(F.col("q1").alias("v1"), F.col("q2").alias("v2")), ["v1", "v2"], "left_anti").select("vector", "v1", "v2", one), "missed")
+        if not missed.isEmpty():
+            lists = whole.unionAll(nearest(missed, everything))
 
     same = (F.col("v1") == F.col("q1")) & (F.col("v2") == F.col("q2"))
     own_id = lambda e: (e["v1"] == F.col("v1")) & (e["v2"] == F.col("v2"))
