@@ -1,9 +1,10 @@
 """Quality rules with host verdicts.  DataFrame operations only.
 
-Base rules look at one document; the method then looks at its host (``source``): failures are counted by host, each
-host's failure rate is shrunk with a beta prior that is fitted to all hosts by moments, and the documents of a host whose
-shrunk rate is above ``max_host_rate`` are not kept.  Shrinking only ever clears a host: where most documents of the corpus
-fail, a host whose own rate isn't above the limit isn't condemned by the others.
+Base rules look at one document; the method then looks at its host (``source``): failures are counted by host, and each
+host's failure rate is shrunk with a beta prior that is fitted to all hosts by moments.  A host is bad, and none of its
+documents kept, if its shrunk rate has more than ``max_odds`` times the odds of the prior's mean.  So the limit moves with
+the corpus: where one document in ten fails, hosts above 31 in a hundred go; where most fail, only hosts that are far worse
+still go; where none or all fail, no host does.  A host of few documents is drawn to the mean and needs clear evidence.
 
 Null or empty texts have no words and fail the base rules.  A null host is a host of its own.  Repeated rows are counted
 and returned as often as they come.  An empty table gives an empty result; further columns are not looked at.
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import let, stored, table, words
 
-MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW, MAX_HOST_RATE = 20, 30, 8, 0.5
+MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW, MAX_ODDS = 20, 30, 8, 4.0
 #: Host verdicts are broadcast up to so many hosts (under 20 MB); beyond, they are joined by shuffle.
 BROADCAST_HOSTS = 200_000
 
@@ -54,11 +55,11 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
 
 
-def host_verdicts(counts: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(counts: DataFrame, max_odds: float = MAX_ODDS) -> DataFrame:
     """(source, n_docs, n_failed, rate, bad) by host.
 
     The prior beta(a, b) has the mean of all documents and the variance between the hosts' rates that is left after
-    their binomial variance; its weight a + b stays between 1 and 10000.
+    their binomial variance; its weight a + b stays between 1 and 10000.  ``bad`` compares odds: r / (1 - r) with those of the mean.
     """
     hosts = stored(counts.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")), "hosts")
     rate = F.col("n_failed") / F.col("n_docs")
@@ -68,14 +69,14 @@ def host_verdicts(counts: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> Da
     between = max((square / n - mean * mean) - inside * k / n, 0.0) if n else 0.0
     weight = min(max(inside / between - 1, 1.0), 10_000.0) if between > 0 else 10_000.0
     shrunk = (F.col("n_failed") + F.lit(weight * mean)) / (F.col("n_docs") + F.lit(weight))
-    bad = (shrunk > max_host_rate) & (rate > max_host_rate)
+    bad = shrunk * (1 - mean) > max_odds * mean * (1 - shrunk)
     return hosts.select("source", "n_docs", "n_failed", shrunk.alias("rate"), bad.alias("bad"))
 
 
-def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def quality_rules(docs: DataFrame, max_odds: float = MAX_ODDS) -> DataFrame:
     """Counts, base_failed and kept of every row of docs(doc_id, text, source)."""
     counts = stored(document_counts(docs), "counts")
-    hosts = host_verdicts(counts, max_host_rate).filter("bad").select(F.col("source").alias("host"), "bad")
+    hosts = host_verdicts(counts, max_odds).filter("bad").select(F.col("source").alias("host"), "bad")
     if hosts.count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
     joined = counts.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left")
@@ -103,7 +104,7 @@ WITH d AS (
 ), g AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS sq, count(*) / sum(n) AS kn FROM h
 ), v AS (SELECT m, greatest(sq - m * m - m * (1 - m) * kn, 0) AS bt FROM g
 ), wt AS (SELECT m, CASE WHEN bt > 0 THEN least(greatest(m * (1 - m) / bt - 1, 1), 10000) ELSE 10000 END AS wgt FROM v
-), bad AS (SELECT source FROM h, wt WHERE (f + wgt * m) / (n + wgt) > 0.5 AND f / n > 0.5)
+), bad AS (SELECT source FROM h, wt WHERE (f + wgt * m) / (n + wgt) * (1 - m) > 4 * m * (1 - (f + wgt * m) / (n + wgt)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept FROM b
 """

@@ -42,6 +42,29 @@ def test_hosts(spark, make):
     assert not any(out[i] for i in range(300)) and all(out[1000 + i] for i in range(500) if i % 10) and out[5001] and not out[5000]
 
 
+@pytest.mark.parametrize("spam", [0, 1, 3])
+def test_host_verdicts_decide_rows(spark, tmp_path, spam):
+    """Against the oracle on a table in which some hosts go: rows that pass the base rules are not kept there."""
+    good, bad = " ".join(f"w{i}" for i in range(50)), "short"
+    rows = [(h * 1000 + i, bad if i % 10 == h % 10 else good, f"host{h}") for h in range(12) for i in range(60)]
+    rows += [(50_000 + h * 1000 + i, bad if i % 4 else good, f"spam{h}") for h in range(spam) for i in range(80)] + [(90_000, bad, "tiny"), (90_001, good, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.ORACLE_SQL["op5_quality_rules"])
+    got = registry.QUERIES["op5_quality_rules"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+    dropped = {r.doc_id for r in got if not r.base_failed and not r.kept}
+    assert dropped == {i for i, text, host in rows if text == good and host and host.startswith("spam")}
+
+
+def test_no_host_goes_where_all_are_alike(spark, make):
+    good, bad = " ".join(f"w{i}" for i in range(50)), "short"
+    for n in (0, 9, 10):
+        out = quality.quality_rules(make([(i, bad if i % 10 < n else good, f"s{i % 7}") for i in range(700)])).collect()
+        assert all(r.kept != r.base_failed for r in out) and sum(r.base_failed for r in out) == 70 * n
+
+
 def test_urls(spark):
     rows = [
         (1, "http://a.net/x", "<link rel=canonical href='http://b.example.org/en/1?x=1'>"), (2, "HTTPS://B.Example.ORG/en/1?x=1#f", None), (3, "http://c.net/z", '<META http-equiv="refresh" content="0; URL=http://a.net/x">'),
