@@ -2,16 +2,21 @@
 
 Markup is read as browsers do in the cases that matter for text: comments, raw-text elements, unquoted attributes,
 missing end tags of paragraphs, list items and table parts, stray end tags, and misnested inline elements.  Inline elements
-belong to the block around them.
+belong to the block around them.  Attributes of ``html`` and ``body`` name the page's template, not a part of the page, and
+are not kept.  The places of open elements are kept by name, so a page costs about its length, however unbalanced it is.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe object svg math noembed noframes xmp canvas".split())
+#: Elements whose content is no text of the page; of these, browsers read the first ones as raw text to the end of the page if they have no end tag.
+RAW_TO_END = frozenset("script style title textarea iframe noembed noframes xmp".split())
+RAW = RAW_TO_END | frozenset("noscript template object svg math canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Tags that the classifier tells apart; all others share one number.
 TAGS = ("html", "body", "div", "p", "article", "main", "section", "h1", "h2", "h3", "h4", "h5", "h6", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "button", "label", "select", "option", "fieldset", "dialog", "menu", "address", "details", "summary", "tbody", "thead", "center")
@@ -70,6 +75,9 @@ class Page:
         self.above_tags, self.tags_in = [0], [0]
         self.own, self.link, self.segments = [0], [0], []
         self._stack: list[tuple[str, int]] = [("html", 0)]
+        self._open: defaultdict[str, list[int]] = defaultdict(list)  # places of each name in the stack
+        self._open["html"].append(0)
+        self._blocks: list[int] = [0]  # places of blocks in the stack
         self._run: list[str] = []
         self._links = 0
         self._open_links = 0
@@ -94,12 +102,20 @@ class Page:
 
     def _pop(self) -> str:
         name, node = self._stack.pop()
+        self._open[name].pop()
         if name in INLINE:
             self._open_links -= name == "a"
         else:
+            self._blocks.pop()
             self.end[node] = len(self.tag)
         return name
 
+    def _push(self, name: str, node: int) -> None:
+        if name not in INLINE:
+            self._blocks.append(len(self._stack))
+        self._open[name].append(len(self._stack))
+        self._stack.append((name, node))
+
     def _text(self, text: str) -> None:
         self._run.append(text)
         if self._open_links:
@@ -116,32 +132,23 @@ class Page:
         if name in INLINE:
             if name == "a" and self._open_links:
                 self._close("a")
-            self._stack.append((name, self._block()))
+            self._push(name, self._block())
             self._open_links += name == "a"
             self.tags_in[self._block()] += 1
             return
         self._flush()
         if name in ("html", "body", "head"):
-            self.mask[0] |= 0 if name == "head" else 0
             return
-        if name in _CLOSES_P:
-            for k in range(len(self._stack) - 1, 0, -1):
-                if self._stack[k][0] == "p":
-                    while len(self._stack) > k:
-                        self._pop()
-                    break
-                if self._stack[k][0] not in INLINE:
-                    break
+        if name in _CLOSES_P and self._stack[self._blocks[-1]][0] == "p":
+            self._close_to(self._blocks[-1])
         if name in _ENDS:
             ends, stop = _ENDS[name]
-            for k in range(len(self._stack) - 1, 0, -1):
-                if self._stack[k][0] in ends:
-                    while len(self._stack) > k:
-                        self._pop()
-                    if name not in ("tr", "tbody"):
-                        break
-                elif self._stack[k][0] in stop:
-                    break
+            least = max((self._open[x][-1] for x in stop if self._open[x]), default=0)
+            # a row ends all cells and rows up to its table, others the innermost element only
+            far = name in ("tr", "tbody")
+            hits = [places[bisect_right(places, least)] if far else places[-1] for places in map(self._open.__getitem__, ends) if places and places[-1] > least]
+            if hits:
+                self._close_to(min(hits) if far else max(hits))
         up = self._block()
         node = len(self.tag)
         self.tag.append(NUMBER.get(name, len(TAGS)))
@@ -157,21 +164,25 @@ class Page:
         self.own.append(0)
         self.link.append(0)
         self.tags_in.append(1)
-        self._stack.append((name, node))
+        self._push(name, node)
+
+    def _close_to(self, k: int) -> None:
+        while len(self._stack) > k:
+            self._pop()
 
     def _close(self, name: str) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            if self._stack[k][0] == name:
-                if name not in INLINE:
-                    self._flush()
-                while len(self._stack) > k:
-                    self._pop()
-                return
-            if name in INLINE and self._stack[k][0] not in INLINE:
-                return  # misnested: the inline element was opened outside this block
+        """Ends the innermost open element of this name; a name that isn't open costs nothing."""
+        places = self._open[name]
+        if not places or name == "html":
+            return
+        if name not in INLINE:
+            self._flush()
+        elif places[-1] < self._blocks[-1]:
+            return  # misnested: the inline element was opened outside this block
+        self._close_to(places[-1])
 
     def _read(self, html: str) -> None:
-        at, n, lower = 0, len(html), None
+        at, n, lower, endless = 0, len(html), None, set()
         while at < n:
             left = html.find("<", at)
             if left < 0:
@@ -192,12 +203,12 @@ class Page:
                 continue
             name = name.lower()
             if end:
-                if name == "p" and all(x != "p" for x, _ in self._stack):
+                if name == "p" and not self._open["p"]:
                     self._flush()
                 self._close(name)
                 continue
             if name in RAW:
-                if attributes.endswith("/") and name in ("svg", "math"):
+                if attributes.endswith("/") and name in ("svg", "math") or name in endless:
                     continue
                 lower = lower if lower is not None else html.lower()
                 if len(lower) != n:  # lower-casing may change the length of some letters
@@ -205,8 +216,11 @@ class Page:
                     stop = found.start() if found else -1
                 else:
                     stop = lower.find(f"</{name}", at)
-                if stop < 0:
+                if stop < 0 and name in RAW_TO_END:
                     return
+                if stop < 0:
+                    endless.add(name)  # what follows is read as if the start tag weren't there
+                    continue
                 right = html.find(">", stop)
                 at = n if right < 0 else right + 1
                 continue

@@ -27,7 +27,7 @@ from . import boosting
 from .common import table
 from .dom import FAMILIES, NUMBER, TAGS, Page
 
-PAGES, SEED = 1200, 7
+PAGES, SEED, NODES = 1200, 7, 20_000
 _SHOWN = [NUMBER[t] for t in ("div", "p", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "dl", "table", "td", "blockquote", "pre", "figure", "button", "label", "body")]
 _HEADINGS = [NUMBER[t] for t in ("h1", "h2", "h3", "h4", "h5", "h6")]
 _ABOVE = [NUMBER[t] for t in ("article", "main", "nav", "header", "footer", "aside", "form", "ul", "table")]
@@ -231,8 +231,20 @@ def model(pages: int = PAGES, seed: int = SEED) -> boosting.Trees:
 
 
 def main_texts(htmls: list[str | None], trees: boosting.Trees) -> list[str]:
-    """The main text of each page."""
-    pages = [Page(h) if h else None for h in htmls]
+    """The main text of each page.  Pages are classified together up to ``NODES`` nodes, and dropped then."""
+    out: list[str] = []
+    pages: list[Page | None] = []
+    nodes = 0
+    for h in htmls:
+        pages.append(Page(h) if h else None)
+        nodes += len(pages[-1].tag) if h else 0
+        if nodes >= NODES:
+            out += _texts(pages, trees)
+            pages, nodes = [], 0
+    return out + _texts(pages, trees)
+
+
+def _texts(pages: list[Page | None], trees: boosting.Trees) -> list[str]:
     x = [features(p) for p in pages if p]
     odds = iter(np.split(trees.log_odds(np.concatenate(x)), np.cumsum([len(a) for a in x])[:-1])) if x else iter(())
     out = []

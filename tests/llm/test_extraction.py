@@ -1,4 +1,10 @@
+import itertools
+import math
+import time
+from types import SimpleNamespace
+
 import numpy as np
+import pytest
 
 from mediaprism.llm import boosting, extraction
 from mediaprism.llm.dom import Page
@@ -45,3 +51,42 @@ def test_boosting():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     trees = boosting.fit(x[:1500], y[:1500], trees=30, depth=3)
     assert ((trees.log_odds(x[1500:]) > 0) == y[1500:]).mean() > 0.95
+
+
+def test_decisions_are_the_best_ones():
+    """Against all sets of nodes without a kept child of a dropped parent."""
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        n = int(r.integers(1, 9))
+        parent = [0, *(int(r.integers(0, v)) for v in range(1, n))]
+        own = [int(x) for x in r.integers(0, 50, n)]
+        odds = r.normal(size=n) * 4
+        cut = [max(-5.0, min(5.0, x)) for x in odds]
+        weight = [(cut[v] + (0.4 * cut[parent[v]] if parent[v] else 0)) * (1 + math.log1p(own[v])) for v in range(n)]
+        sets = [k for k in itertools.product([True, False], repeat=n - 1) if all(not k[v - 1] or not parent[v] or k[parent[v] - 1] for v in range(1, n))]
+        best = max(sum(weight[v] for v in range(1, n) if k[v - 1]) for k in sets)
+        kept = extraction.decide(SimpleNamespace(own=own, parent=parent), odds)
+        assert kept[0] and tuple(kept[1:]) in sets
+        assert math.isclose(sum(weight[v] for v in range(1, n) if kept[v]), best, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("html", ["<div>" * 40_000 + "</section>" * 40_000, "<div>" * 40_000 + "</p>" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<div>" * 40_000 + "<tr>x" * 40_000, "<object>x" * 40_000, "<span>" * 40_000 + "<p>x" * 40_000])
+def test_unbalanced_pages_cost_their_length(html):
+    began = time.process_time()
+    Page(html)
+    assert time.process_time() - began < 1
+
+
+def test_elements_without_an_end():
+    texts = lambda html: [t for _, t in Page(html).segments]
+    assert texts("<p>a<object data=x><p>b<canvas/><p>c<noscript>d") == ["a", "b", "cd"]
+    assert texts("<p>a<script>b<p>c") == ["a"] and texts("<p>a<svg><text>b</text></svg>c<svg/>d") == ["acd"]
+    assert texts("<table><tr><td>a<div><td>b<tr><td>c</table><dl><dt>d<dd>e<dt>f</dl>g") == ["a", "b", "c", "d", "e", "f", "g"]
+
+
+def test_batches_agree_with_single_pages(monkeypatch):
+    maker, trees = extraction._Maker(77), extraction.model()
+    pages = [maker.page().replace("\x01", "").replace("\x02", "") for _ in range(20)] + [None, ""]
+    single = [extraction.main_texts([p], trees)[0] for p in pages]
+    monkeypatch.setattr(extraction, "NODES", 50)
+    assert extraction.main_texts(pages, trees) == single
