@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,37 +96,34 @@ def is_document_extension(ext: Column) -> Column:
     return normalize_extension(ext).isin(*T.DOCUMENT_EXTENSIONS)
 
 
-def make_unique(df: DataFrame, name: str, ext: str, order: str = "ord", out: str = "unique_name") -> DataFrame:
-    """Names that are unique without regard to letter case: later rows of a name get _1, _2, ...
+def make_unique(df: DataFrame, name: str, ext: str, order: str = "ord", out: str = "unique_name", parts: int = 64) -> DataFrame:
+    """Names that are unique without regard to letter case.
 
-    The numbers come from a ranking window over the lower-case name.  A number that collides with another row's own name
-    (``a_1`` next to two ``a``) is resolved in a second step over the few names that collide: those rows go on counting.
+    The first row of a name keeps it; later ones, by the numeric column ``order``, get _1, _2, ... before the extension.
+    Where numbers up to their count are taken by other rows' own names (``a_1`` beside two ``a``), counting starts above the
+    highest number taken.  Numbered names of two different names never meet, so the result is unique however many rows
+    share one.  Rows are ranked within ``parts`` ranges of ``order``, whose counts are then summed up, so a name that a
+    third of all rows share is spread over that many groups.
     """
     base, clean = sanitize_filename(F.col(name)), clean_extension(F.coalesce(F.col(ext), F.lit("")))
     full = lambda stem: F.when(F.col("__e") == "", stem).otherwise(F.concat(stem, F.lit("."), F.col("__e")))
-    df = df.withColumn("__b", base).withColumn("__e", clean)
-    rank = F.row_number().over(Window.partitionBy(F.lower(full(F.col("__b")))).orderBy(order)) - 1
-    df = df.withColumn("__n", rank).withColumn(out, full(F.when(F.col("__n") == 0, F.col("__b")).otherwise(F.concat("__b", F.lit("_"), "__n"))))
-    again = F.count(F.lit(1)).over(Window.partitionBy(F.lower(F.col(out))))
-    family = F.lower(F.regexp_replace(full(F.col("__b")), r"(_\d+)+(\.[^.]*)?$", "$2"))
-    df = df.withColumn("__again", again).withColumn("__family", family)
-    hit = F.max("__again").over(Window.partitionBy("__family")) > 1
-
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        seen, names = set(), []
-        frame = frame.sort_values(order)
-        for b, e in zip(frame["__b"], frame["__e"], strict=True):
-            tail, n = f".{e}" if e else "", 0
-            new = b + tail
-            while new.lower() in seen and n < 10_000:
-                n += 1
-                new = f"{b}_{n}{tail}"
-            seen.add(new.lower())
-            names.append(new)
-        frame[out] = names
-        return frame
-
-    df = df.withColumn("__hit", hit)
-    calm, clash = df.filter(~F.col("__hit")), df.filter("__hit")
-    settled = clash.groupBy("__family").applyInPandas(settle, clash.schema)
-    return calm.unionByName(settled).drop("__b", "__e", "__n", "__again", "__family", "__hit")
+    edges = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.2 / parts)  # parts numbers
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(order))) if edges else F.lit(0)
+    rows = df.withColumn("__b", base).withColumn("__e", clean)
+    rows = rows.withColumns({"__own": F.lower(full(F.col("__b"))), "__part": F.coalesce(part, F.lit(0))})
+
+    numbered = r"^(.*)_([1-9][0-9]{0,17})(\.[a-z0-9]+)?\z"
+    counts = rows.groupBy("__own", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    number = F.expr(f"try_cast(regexp_extract(__own, r'{numbered}', 2) AS bigint)")
+    taken = counts.select(F.regexp_replace("__own", numbered, "$1$3").alias("__own"), number.alias("k")).filter("k IS NOT NULL")
+    taken = taken.groupBy("__own").agg(F.min("k").alias("__least"), F.max("k").alias("__most"))
+    of_name = Window.partitionBy("__own")
+    before = F.sum("__n").over(of_name.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__own", "__part", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(of_name).alias("__all")).join(taken, "__own", "left")
+    above = F.when(F.col("__least") < F.col("__all"), F.col("__most")).otherwise(0)
+    counts = counts.select("__own", "__part", "__before", F.coalesce(above, F.lit(0)).alias("__above"))
+
+    rank = F.row_number().over(Window.partitionBy("__own", "__part").orderBy(order)) - 1
+    rows = rows.withColumn("__k", rank).join(counts, ["__own", "__part"]).withColumn("__k", F.col("__k") + F.col("__before"))
+    new = full(F.when(F.col("__k") == 0, F.col("__b")).otherwise(F.concat("__b", F.lit("_"), F.col("__above") + F.col("__k"))))
+    return rows.select(*df.columns, new.alias(out))

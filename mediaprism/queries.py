@@ -185,10 +185,13 @@ def filename_sanitized(spark, sf_dir):
     return part.select("p_partkey", N.sanitize_filename(F.col("name")).alias("base"), sanitize.sanitize_filename(F.col("name")).alias("strict"), (N.has_path_traversal(F.col("name")) & (F.col("name") != "...") & ~F.col("name").endswith("..")).alias("traversal"))
 
 
-@query("""WITH n AS (SELECT p_partkey, 'img' || (p_partkey % 50) AS b, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) - 1 AS n FROM part)
-  SELECT p_partkey, b || CASE WHEN n = 0 THEN '' ELSE '_' || n END || '.jpg' AS unique_name FROM n""")
+@query("""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 7 THEN 'img8_3' ELSE 'img' || (p_partkey % 50) END AS b FROM part),
+  r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p_partkey) - 1 AS n, count(*) OVER (PARTITION BY b) AS c FROM n)
+  SELECT p_partkey, b || CASE WHEN n = 0 THEN '' ELSE '_' || (n + CASE WHEN b = 'img8' AND c > 3 THEN 3 ELSE 0 END) END || '.jpg' AS unique_name FROM r""")
 def filename_unique(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("img"), F.col("p_partkey") % 50).alias("name"), F.lit("JPG").alias("ext"))
+    """Fifty names shared by all rows; one of them is what numbering another would give."""
+    name = F.when(F.col("p_partkey") % 50 == 7, "img8_3").otherwise(F.concat(F.lit("img"), F.col("p_partkey") % 50))
+    part = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.lit("JPG").alias("ext"))
     return N.make_unique(part, "name", "ext", order="p_partkey").select("p_partkey", "unique_name")
 
 

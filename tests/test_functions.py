@@ -113,6 +113,18 @@ def test_unique_names(spark):
     assert len({n.lower() for n in names}) == 5 and names[0] == "a.jpg" and names[4] == "b"
 
 
+def test_unique_names_of_one_base(spark):
+    """20,000 equal names, beside others that have numbers already."""
+    rows = [(i, "file", "x") for i in range(20_000)] + [(20_001, "file_1", "x"), (20_002, "FILE_1", "X"), (20_003, "file_7.x", ""), (20_004, "other", "x"), (20_005, "other_9", "x"), (20_006, "other", "x"), (20_007, "file_007", "x")]
+    out = N.make_unique(spark.createDataFrame(rows, "ord int, name string, ext string").repartition(7), "name", "ext").orderBy("ord").collect()
+    names = [r.unique_name for r in out]
+    assert len({n.lower() for n in names}) == len(rows) == len(names)
+    assert names[0] == "file.x" and names[1:20_000] == [f"file_{7 + i}.x" for i in range(1, 20_000)]
+    assert names[20_000:] == ["file_1.x", "FILE_1_1.x", "file_7.x", "other.x", "other_9.x", "other_1.x", "file_007.x"]
+    same = N.make_unique(spark.createDataFrame([(1, "a", "b")] * 50 + [(None, "a", "b")], "ord int, name string, ext string"), "name", "ext")
+    assert len({r.unique_name for r in same.collect()}) == 51 and N.make_unique(same.drop("unique_name").filter("ord > 5"), "name", "ext").count() == 0
+
+
 def test_mime(spark):
     assert values(spark, ["application/pdf", "text/plain", " IMAGE/x ", "application/msword", None], M.media_type_of_mime(F.col("url")), False) == ["document", "unknown", "image", "document", "unknown"]
     assert M.supported_extensions("audio")[-1] == "opus" and len(M.supported_extensions("image")) == 15 and M.supported_extensions("x") == []
