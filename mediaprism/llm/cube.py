@@ -12,9 +12,17 @@ documents of a source take the decision that brings its words nearest to the tar
 decisions of the last block are flipped until no flip brings the words nearer.  So a source misses its target by a few
 words where it has short documents, whatever its size, and no block holds more than a bounded number of rows.
 
-All random choices come from hashes of ids and sizes, so that reruns agree.  Null texts have size 0; a null source is a
-source of its own.  Repeated rows are separate units.  An empty table gives an empty result; sources without words have
-target 0 and ratio 0.  Other columns are not looked at.
+The last step ("repair") gives up a little of the balance for the words: it flips at most 64 decisions a source, by a rule
+that looks at sizes only.
+
+Repeated rows (same id, source and text) fly as one unit: of m rows with inclusion probability p, floor(m * p) are taken,
+one has the rest as its probability, and the others are left out, which keeps both sums.  So a row that a third of the table
+repeats is one entry of one block.  All random choices come from hashes of ids and sizes, so that reruns agree.  Null texts
+have size 0; a null source is a source of its own.  An empty table gives an empty result; sources without words have target
+0 and ratio 0.  Other columns are not looked at.
+
+Targets of up to ``MAX_SOURCES`` sources are computed on the driver; beyond, the sources are ranked and filled up by
+DataFrame operations, and joined by shuffle.  Both ways give the same targets.
 """
 
 from __future__ import annotations
@@ -23,12 +31,13 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SEPARATORS, stored, table
 
 WEIGHTS, MAX_REPEATS, BLOCK, HOLD = (1.0, 2.0, 3.0), 3.0, 1000, 16
+MAX_SOURCES, SPREAD = 200_000, 10_000
 _CLOSE = 1e-9
 
 
@@ -139,21 +148,55 @@ def _flight(level: int, last: bool):
     return flown
 
 
-def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, source, unit, size, source_size, target, copies, taken) for every row of docs(doc_id, text, source).
+def _targets_table(known: DataFrame, max_repeats: float, weights: tuple[float, ...]) -> DataFrame:
+    """(source, size, n, target) by DataFrame operations, for any number of sources(source, size, n).
+
+    Sources are ranked by ranges, whose counts are summed up.  A target is the smaller of its cap and of its weight times a
+    level that rises round by round, as capped sources pass on what they can't take, until no further source is full."""
+    ranged = known.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "sources")  # stored: a second run of the ranges could cut them elsewhere
+    counts = ranged.groupBy("part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = F.broadcast(counts.select("part", before.alias("before")))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
+    weight = F.get(F.array(*map(F.lit, weights)), F.pmod(place, F.lit(len(weights))).cast("int"))
+    rows = ranged.join(counts, "part").withColumn("weight", weight).withColumn("cap", F.col("size") * F.lit(float(max_repeats)))
+    rows = stored(rows.select("source", "size", "n", "weight", "cap"), "weights")
+    total, level, full = rows.agg(F.sum("size")).first()[0] or 0, 0.0, -1
+    while True:
+        over = F.col("cap") < F.lit(level) * F.col("weight")
+        capped, free, now = rows.agg(F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).first()
+        if now == full or not free:
+            break
+        level, full = (total - (capped or 0.0)) / free, now
+    return rows.select("source", "size", "n", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
-    Sources are named in a dictionary on the driver: there must be few enough of them for that (they are the mix's
-    configuration).  ``unit`` is a hash of id, source and text.
-    """
+
+def _units(docs: DataFrame, max_repeats: float, block: int, weights: tuple[float, ...], max_sources: int) -> DataFrame:
+    """(doc_id, source, unit, size, source_size, target, m, whole, sure, p): every distinct row, its number m, and p decided:
+    each of the m is taken ``whole`` times, ``sure`` of them once more, and one of the rest once more if p is 1."""
     unit = F.xxhash64("doc_id", "source", "text")
-    rows = stored(docs.select("doc_id", "source", unit.alias("unit"), size_of(F.col("text")).alias("size")), "sizes")
-    known = {r["source"]: (r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
-    goal = targets({s: v[0] for s, v in known.items()}, max_repeats, weights)
-    ratio = {s: goal[s] / known[s][0] if known[s][0] else 0.0 for s in known}
-    facts = docs.sparkSession.createDataFrame([(s, s is None, int(known[s][0]), float(goal[s]), int(ratio[s] + _CLOSE), max(0.0, ratio[s] - int(ratio[s] + _CLOSE)), max(1, known[s][1] // block)) for s in known], "s string, none boolean, source_size bigint, target double, whole int, p double, blocks bigint")
-    left = rows.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("s"))).drop("s", "none")
-    schema = "doc_id {}, source string, unit bigint, size bigint, source_size bigint, target double, whole int, p double, blocks bigint".format(docs.schema["doc_id"].dataType.simpleString())
-    most, done, level = max((v[1] for v in known.values()), default=0), [], 0
+    rows = docs.select("doc_id", "source", unit.alias("unit"), size_of(F.col("text")).alias("size"))
+    rows = stored(rows.groupBy("doc_id", "source", "unit", "size").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    known = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("size"), F.count(F.lit(1)).alias("n"))
+    some = known.limit(max_sources + 1).collect()  # at most max_sources + 1 narrow rows
+    if len(some) <= max_sources:
+        goal = targets({r["source"]: r["size"] for r in some}, max_repeats, weights)
+        facts = docs.sparkSession.createDataFrame([(r["source"], r["size"], r["n"], float(goal[r["source"]])) for r in some], "source string, size bigint, n bigint, target double")
+        facts = F.broadcast(facts)
+    else:
+        facts = _targets_table(known, max_repeats, weights)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    facts = facts.select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target", F.greatest(F.lit(1), F.floor(F.col("n") / block)).alias("blocks"))
+    facts = facts.withColumn("ratio", ratio).withColumn("whole", F.floor(F.col("ratio") + _CLOSE).cast("int"))
+    left = rows.join(facts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rest = F.col("m") * F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole"))
+    left = left.withColumn("sure", F.floor(rest + _CLOSE)).withColumn("p", F.greatest(F.lit(0.0), rest - F.col("sure"))).drop("ratio")
+    names = ["doc_id", "source", "unit", "size", "source_size", "target", "m", "whole", "sure", "p", "blocks"]
+    schema = ", ".join(f"{x} {docs.schema['doc_id'].dataType.simpleString() if x == 'doc_id' else 'string' if x == 'source' else 'double' if x in ('target', 'p') else 'int' if x == 'whole' else 'bigint'}" for x in names)
+    left = left.select(*names)
+    largest = lambda df: df.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    most, done, level = largest(rows), [], 0
     while True:
         last, seed = most <= block, level
         n = F.lit(1) if last else F.greatest(F.lit(1), F.floor(F.col("blocks") / F.lit(float(HOLD - 1) ** level)))
@@ -163,25 +206,44 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, block: int = BLOCK, w
         if last:
             break
         left, level = flown.filter("p > 0 AND p < 1"), level + 1
-        most = max((r[0] for r in left.groupBy("source").count().select("count").collect()), default=0)
+        most = largest(left)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    copies = (F.col("whole") + F.col("p")).cast("int")
+    return out.drop("blocks")
+
+
+def _times(df: DataFrame, count: str, out: str) -> DataFrame:
+    """Each row ``count`` times, numbered from 0 in ``out``; rows of very many are dealt over tasks first."""
+    few = df.filter(F.col(count) <= SPREAD).withColumn(out, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
+    many = df.filter(F.col(count) > SPREAD)
+    many = many.withColumn("__from", F.explode(F.sequence(F.lit(0), F.col(count) - 1, F.lit(SPREAD)))).repartition(F.col("__from"))
+    many = many.withColumn(out, F.explode(F.sequence(F.col("__from"), F.least(F.col(count), F.col("__from") + SPREAD) - 1))).drop("__from")
+    return few.unionByName(many)
+
+
+def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, max_sources: int = MAX_SOURCES) -> DataFrame:
+    """(doc_id, source, unit, size, source_size, target, copies, taken) for every row of docs(doc_id, text, source).
+
+    ``unit`` is a hash of id, source and text.
+    """
+    out = _times(_units(docs, max_repeats, block, weights, max_sources), "m", "i")
+    more = F.when(F.col("i") < F.col("sure"), 1).when(F.col("i") == F.col("sure"), F.col("p")).otherwise(0)
+    copies = (F.col("whole") + more).cast("int")
     return out.select("doc_id", "source", "unit", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
 
 
-def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Each row of docs as often as the mix takes it; all columns are kept."""
-    wanted = mixed.filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("unit").alias("__unit"), "copies")
-    # rows that share id, source and text are interchangeable: the k-th of them takes the k-th number of copies
-    total = stored(wanted.groupBy("__id", "__unit").agg(F.sum("copies").alias("__copies")), "copies")
+def repeat_documents(docs: DataFrame, max_repeats: float = MAX_REPEATS, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, max_sources: int = MAX_SOURCES) -> DataFrame:
+    """Each row of docs as often as the mix takes it; all columns are kept.  Rows that share id, source and text count as one
+    row that comes as often as all of them; columns beside these are those of any of them."""
+    units = _units(docs, max_repeats, block, weights, max_sources)
+    number = (F.col("m") * F.col("whole") + F.col("sure") + F.col("p")).cast("bigint")
+    wanted = stored(units.select(F.col("doc_id").alias("__id"), F.col("unit").alias("__unit"), "m", number.alias("__copies")).filter("__copies > 0"), "copies")
     tagged = docs.withColumn("__u", F.xxhash64("doc_id", "source", "text"))
-    again = mixed.groupBy("doc_id", "unit").count().filter("count > 1")
-    if not again.isEmpty():
+    if not wanted.filter("m > 1").isEmpty():
         tagged = tagged.dropDuplicates(["doc_id", "__u"])
-    joined = tagged.join(total, tagged["doc_id"].eqNullSafe(total["__id"]) & (tagged["__u"] == total["__unit"]))
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    joined = tagged.join(wanted.drop("m"), tagged["doc_id"].eqNullSafe(wanted["__id"]) & (tagged["__u"] == wanted["__unit"]))
+    return _times(joined, "__copies", "__k").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,7 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL; the entry point adds the pipeline."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import crosspolytope, cube, extraction, packing, quality, simhash, substrings, tokens, toxicity, urlrules
 
 QUERIES = {
@@ -17,6 +15,5 @@ QUERIES = {
     "op8_token_counts": tokens.query,
     "op9_best_fit_packing": packing.query,
     "op10_url_filters": urlrules.query,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op5_quality_rules": quality.ORACLE_SQL, "op10_url_filters": urlrules.ORACLE_SQL}

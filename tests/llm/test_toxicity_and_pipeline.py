@@ -79,7 +79,7 @@ def test_stages_one_by_one(spark, make, tmp_path):
 def test_registry(spark):
     from mediaprism.llm import registry
 
-    assert len(registry.QUERIES) == 11 and set(registry.ORACLE_SQL) <= set(registry.QUERIES) and corpus_pipeline.ORACLE_SQL is None
+    assert len(registry.QUERIES) == 10 and set(registry.ORACLE_SQL) <= set(registry.QUERIES) and corpus_pipeline.ORACLE_SQL is None
     for name in ("op1_html_extraction", "op3_mixing", "op6_toxicity", "op9_best_fit_packing"):
         table = "pages" if name.startswith("op1_") else "documents"
         n = len(pd.read_parquet(f"/root/testdata/sf0.001/{table}.parquet"))
@@ -96,3 +96,9 @@ def test_entry_without_the_subpackage(missing):
     root = Path(corpus_pipeline.__file__).parent
     code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; assert not any(k.startswith('op') for k in e.queries()) and len(e.queries()) > 50"
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_entry_with_the_subpackage():
+    import __spark_entry__
+
+    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and sum(k.startswith("op") for k in __spark_entry__.queries()) == 10
