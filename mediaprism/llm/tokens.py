@@ -5,6 +5,9 @@ space, so a text can be cut there and each piece encoded alone.  (Cutting only t
 split depends on what follows, within one piece.)  A text that holds the string of a special token is encoded as a whole
 by the library.
 
+The frequent pieces are those of a sample, the first ``SAMPLE`` characters of every partition: a second pass over all texts
+would cost as much as encoding them.  The table only saves work: what it holds or lacks never changes a count.
+
 Null texts count as empty, with no tokens.  Repeated rows and ids give repeated rows.  An empty table gives an empty
 result.  Very long texts are streamed piece by piece; other columns are not looked at.
 """
@@ -30,6 +33,8 @@ TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: Pieces in the broadcast table; with at most MAX_PIECE characters each it stays under 3 MB.
 FREQUENT, MAX_PIECE = 32_768, 48
+#: Characters of a partition that the table is drawn from.
+SAMPLE = 1 << 19
 #: Pieces in a worker's own cache, which is emptied when it is full.
 CACHE = 400_000
 #: Longer pieces go to the library itself.
@@ -104,14 +109,17 @@ def _trimmed(counts: Counter, size: int) -> Counter:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a partition: counts of its most frequent pieces.  Rare pieces are dropped while counting."""
+    """One row a partition: counts of the most frequent pieces of its first texts."""
     counts: Counter = Counter()
+    left = SAMPLE
     for batch in batches:
         for text in batch.column(0):
-            if text.is_valid:
-                counts.update(CUT.split(text.as_py())[1:])
-                if len(counts) > 16 * FREQUENT:
-                    counts = _trimmed(counts, 4 * FREQUENT)
+            if text.is_valid and left > 0:
+                part = text.as_py()[:left]
+                counts.update(CUT.split(part)[1:])
+                left -= len(part)
+        if left <= 0:
+            break
     kept = _trimmed(Counter({k: v for k, v in counts.items() if len(k) <= MAX_PIECE}), FREQUENT // 4)
     yield pa.RecordBatch.from_pydict({"counts": [pickle.dumps(kept)]})
 
@@ -127,10 +135,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_pieces(docs: DataFrame, path: str) -> dict[str, int]:
-    """Token counts of the most frequent pieces over all documents.
+    """Token counts of the most frequent pieces of the sample.
 
     Each partition sends one summary of bounded size; summaries are merged in two steps, so no piece is shuffled and the
-    driver gets one summary.  The table only saves work: what it holds or lacks never changes a result.
+    driver gets one summary.
     """
     parts = docs.select("text").mapInArrow(_summaries, "counts binary")
     n = max(1, round(parts.rdd.getNumPartitions() ** 0.5))

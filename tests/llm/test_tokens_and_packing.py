@@ -28,6 +28,24 @@ def test_pieces_are_exact(texts):
         assert [i for p in own.parts(t) for i in p] == LIBRARY.encode(t, add_special_tokens=False).ids
 
 
+def test_both_encoders_agree_on_pieces():
+    """Pieces up to the length at which the library itself takes over, from several kinds of alphabets."""
+    r, own = random.Random(4), tokens.Encoder(PATH, list)
+    for letters in ("ab", "aAzZ'\u2019st", "0123456789", "\u6f22\u5b57\u304b", "\u0627\u0644\u0301", "\U0001f600\u200d\ufe0f", ".,!?-_#@", "a\u00e91 \n\t", "\u00a0\u2003x"):
+        for n in (1, 2, 3, 7, 20, 60, 300, tokens.LONG - 1, tokens.LONG, tokens.LONG + 1):
+            piece = "".join(r.choice(letters) for _ in range(n))
+            assert [i for p in own.parts("x " + piece) for i in p] == LIBRARY.encode("x " + piece, add_special_tokens=False).ids
+
+
+def test_the_table_changes_no_count(spark, make, monkeypatch):
+    rows = [(i, f"some words {i} and more words") for i in range(300)]
+    counts = lambda: sorted(map(tuple, tokens.count_tokens(make(rows)).collect()))
+    want = counts()
+    for size in (0, 1, 100):
+        monkeypatch.setattr(tokens, "SAMPLE", size)
+        assert counts() == want
+
+
 def test_counts(spark, make, texts):
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, None), (3, texts[3]), (9999, None)]
     out = tokens.count_tokens(make(rows)).collect()
