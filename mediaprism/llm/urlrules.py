@@ -2,8 +2,9 @@
 
 A rule names a host and the start of a path; it fits the host and all its subdomains, and the longest fitting rule
 decides.  URLs without a rule take the verdict of their equivalence class: pages that redirect (``<meta http-equiv=
-refresh>``) or point with ``<link rel=canonical>`` to another URL form classes (connected components); a class with a
-blocked member and no explicitly allowed one is blocked, any other is allowed.
+refresh>``) or point with ``<link rel=canonical>`` to another URL form classes (connected components), and a class with a
+blocked member is blocked.  Allow takes precedence for the URL that a rule allows, and for no other: an allowed alias says
+nothing for the rest of its class, or one of them would clear any number of blocked pages.
 
 Nulls, empty strings and strings without ``://`` have an empty host and path, fit no rule and are allowed unless their
 class is blocked.  Repeated rows give repeated results.  An empty table gives an empty result; other columns of the
@@ -26,6 +27,7 @@ PRODUCTION_RULES: tuple[Rule, ...] = (("allow", "org", "/"), ("block", "example.
 _HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?\s*canonical\b[^>]*>"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>"""
+_BASE = r"""(?is)<base\b[^>]*\bhref\s*=[^>]*>"""
 _REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'>\s]+)"""
 
 
@@ -58,24 +60,51 @@ def with_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
     return df.withColumn(f"{prefix}node", node).drop(rest)
 
 
+def _without_dots(path: Column) -> Column:
+    """A rooted path without its ``.`` and ``..`` segments."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    last = F.element_at(parts, -1)
+    up = lambda out: F.when(F.size(out) > 0, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, x: F.when(x == ".", out).when(x == "..", up(out)).otherwise(F.array_append(out, x)))
+    kept = F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(?:/|\z)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def resolve(to: Column, base: Column) -> Column:
+    """A reference against an absolute http(s) URL, by RFC 3986, without its fragment; null for other schemes and for empty
+    references, which name the page itself."""
+    scheme = F.coalesce(F.nullif(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.lit("")), F.lit("http"))
+    rest = _rest(base)
+    root = F.concat(scheme, F.lit("://"), F.regexp_extract(rest, "^[^/?#]*", 0))
+    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    plain = F.regexp_extract(to, r"^([^#]*)", 1)
+    own, query = F.regexp_extract(plain, r"^([^?]*)", 1), F.regexp_extract(plain, r"^[^?]*(\?.*)", 1)
+    absolute = F.regexp_extract(plain, "(?i)^(https?://[^/?]*)", 1)
+    return (
+        F.when(plain == "", None).when(absolute != "", F.concat(absolute, _without_dots(F.substring(own, F.length(absolute) + 1, F.length(own))), query))
+        .when(plain.startswith("//"), F.concat(scheme, F.lit(":"), plain)).when(plain.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(plain.startswith("?"), F.concat(root, path, query)).when(plain.startswith("/"), F.concat(root, _without_dots(own), query)).otherwise(F.concat(root, _without_dots(F.concat(folder, own)), query))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) of pages(url, html): canonical links and meta redirects between URL nodes.
+    """Edges (a, b) of pages(url, html): all canonical links and meta redirects between URL nodes.
 
-    Targets may be absolute, scheme-relative, rooted, or relative to the page's folder; other schemes are no links.
+    Targets may be absolute, scheme-relative, rooted, relative to the page's folder or its ``<base href>``, or a query alone;
+    dot segments are resolved, and other schemes are no links.
     """
     seen = pages.filter(F.col("html").rlike("(?i)<link[^>]*canonical|<meta[^>]*refresh")).select("url", "html")
-    tags = seen.select("url", F.regexp_extract("html", _CANONICAL, 0).alias("tag"), F.regexp_extract("html", _REFRESH, 0).alias("meta"))
-    canonical = F.concat(*(F.regexp_extract("tag", _HREF, i) for i in (1, 2, 3)))
-    each = tags.select("url", F.explode(F.array(canonical, F.regexp_extract("meta", _REFRESH_URL, 1))).alias("to")).filter("to <> ''")
-    each = with_parts(stored(each, "targets"), "url").withColumn("to", F.trim(F.replace("to", F.lit("&amp;"), F.lit("&"))))
-    folder = F.when(F.col("path") == "", "/").otherwise(F.regexp_extract("path", "^(.*/)", 1))
-    root = F.concat(F.lit("http://"), "host")
-    absolute = (
-        F.when(F.col("to") == "", None).when(F.col("to").rlike("(?i)^https?://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to"))
-        .when(F.col("to").startswith("/"), F.concat(root, "to")).when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None).otherwise(F.concat(root, folder, "to"))
-    )
-    target = with_parts(each.withColumn("target", absolute), "target", "to_")
-    return target.select(F.col("node").alias("a"), F.col("to_node").alias("b"))
+    every = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    href = lambda tag: F.concat(*(F.regexp_extract(tag, _HREF, i) for i in (1, 2, 3)))
+    clean = lambda x: F.trim(F.replace(x, F.lit("&amp;"), F.lit("&")))
+    canonical = F.transform(every(_CANONICAL), href)
+    moved = F.transform(every(_REFRESH), lambda tag: F.regexp_extract(tag, _REFRESH_URL, 1))
+    base = href(F.regexp_extract("html", _BASE, 0))
+    each = seen.select("url", clean(base).alias("base"), F.explode(F.concat(canonical, moved)).alias("to")).filter("to <> ''")
+    each = stored(each, "targets").withColumn("at", F.coalesce(F.when(F.col("base") != "", resolve(F.col("base"), F.col("url"))), F.col("url")))
+    each = with_parts(each.withColumn("target", resolve(clean(F.col("to")), F.col("at"))), "url")
+    return with_parts(each, "target", "to_").select(F.col("node").alias("a"), F.col("to_node").alias("b"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None) -> DataFrame:
@@ -95,8 +124,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
         return judged.select(*out, F.coalesce("best.action", F.lit("allow")).alias("verdict"))
     member = with_parts(classes.withColumn("url", F.concat(F.lit("http://"), "node")), "url")
     member = member.withColumn("action", best_rule(F.col("host"), F.col("path"), rules)["action"])
-    verdict = member.groupBy("component").agg(F.coalesce(F.bool_or(F.col("action") == "block"), F.lit(False)).alias("bad"), F.coalesce(F.bool_or(F.col("action") == "allow"), F.lit(False)).alias("good"))
-    blocked = stored(member.join(verdict.filter("bad AND NOT good"), "component").select("node", F.lit("block").alias("spread")), "blocked")
+    bad = member.filter("action = 'block'").select("component").distinct()
+    blocked = stored(member.join(bad, "component").select("node", F.lit("block").alias("spread")), "blocked")
     return judged.join(blocked, "node", "left").select(*out, F.coalesce("best.action", "spread", F.lit("allow")).alias("verdict"))
 
 
@@ -129,7 +158,7 @@ WITH RECURSIVE p AS (
   GROUP BY o.node
 ), spread AS (
   SELECT reach.node FROM reach LEFT JOIN acted ON reach.other = acted.node GROUP BY reach.node
-  HAVING coalesce(bool_or(action = 'block'), false) AND NOT coalesce(bool_or(action = 'allow'), false)
+  HAVING coalesce(bool_or(action = 'block'), false)
 ), m AS (
   SELECT n.page_id, n.host, n.path, n.node, r.h || r.pre AS rule, r.action,
          row_number() OVER (PARTITION BY n.page_id, n.host, n.path, n.node ORDER BY length(r.h || r.pre) DESC NULLS LAST) AS k

@@ -76,5 +76,33 @@ def test_urls(spark):
     assert (out[2].host, out[2].path, out[2].rule) == ("b.example.org", "/en/1", "example.org/en/1") and (out[9].host, out[9].path) == ("e.com:80", "") and (out[5].host, out[6].path) == ("", "") and out[11].rule == "org/"
     more = spark.createDataFrame([("http://www.q.org/a", "http://c.net/z")], "url string, target string")
     allowed = {r.page_id: r.verdict for r in urlrules.judge_urls(pages, urlrules.PRODUCTION_RULES, more).collect()}
-    assert allowed[1] == "allow" and allowed[2] == "block"  # an allowed member clears the class, but no rule of a URL's own
+    assert allowed[8] == "allow" and allowed[1] == allowed[2] == allowed[3] == "block"  # allow holds for the URL itself, and clears nobody else
     assert urlrules.judge_urls(pages.filter("page_id > 99"), urlrules.PRODUCTION_RULES).count() == 0 and urlrules.judge_urls(pages, urlrules.PRODUCTION_RULES).count() == len(rows)
+
+
+def test_every_link_of_a_page_counts(spark):
+    """A second canonical link, a second refresh, dot segments, queries alone and a base: each leads to a blocked page."""
+    bad = "http://x.example.org/en/1"  # blocked by rule
+    rows = [(0, bad, None)] + [
+        (i, f"http://h{i}.net/a/b/c?q=1", html)
+        for i, html in enumerate([
+            f'<link rel="canonical" href="/ok"><link rel="canonical" href="{bad}">', f'<meta http-equiv="refresh" content="1; url=/ok"><meta http-equiv="refresh" content="1; url={bad}">',
+            '<link rel="canonical" href="../x/./y/..?z">', '<link rel="canonical" href="?z">', '<base href="http://x.example.org/en/"><link rel="canonical" href="1">', '<base href="../../"><link rel="canonical" href="w">', '<link rel="canonical" href="http://h7.net/p/../q">', '<link rel="canonical" href="mailto:a@b">',
+        ], 1)
+    ] + [(20, "http://h3.net/a/x/?z", f'<link rel="canonical" href="{bad}">'), (21, "http://h4.net/a/b/c?z", f'<link rel="canonical" href="{bad}#top">'), (22, "http://h6.net/w", f'<link rel="canonical" href="{bad}">'), (23, "http://h7.net/q", f'<link rel="canonical" href="{bad}">')]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    out = {r.page_id: r.verdict for r in urlrules.judge_urls(pages, urlrules.PRODUCTION_RULES).collect()}
+    assert [i for i in out if out[i] == "allow"] == [8] and len(out) == len(rows)
+
+
+def test_clashing_names_of_redirects(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/", "")], "page_id int, url string, html string").selectExpr("*", "'x' AS target", "'y' AS to", "'z' AS rest")
+    redirects = spark.createDataFrame([("http://a.net/", "http://example.org/es/", "q", "r")], "url string, target string, host string, to_node string")
+    assert [r.verdict for r in urlrules.judge_urls(pages, urlrules.PRODUCTION_RULES, redirects).collect()] == ["block"]
+
+
+def test_resolved_references(spark):
+    base = "http://a/b/c/d;p?q"
+    cases = {"g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "g?y#s": "http://a/b/c/g?y", ";x": "http://a/b/c/;x", ".": "http://a/b/c/", "..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g?y/../x": "http://a/b/c/g?y/../x", "#s": None, "": None, "mailto:x": None, "HTTPS://X/../y": "HTTPS://X/y"}
+    df = spark.createDataFrame([(k, base) for k in cases], "r string, b string")
+    assert {x.r: x.v for x in df.select("r", urlrules.resolve(df.r, df.b).alias("v")).collect()} == cases
