@@ -31,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this session below ``spark.checkpoint.dir``, which the cluster's machines share.
 
-    Only where that setting is missing (local tests) is a temporary folder taken.
+    Only a local master, as in tests, may do without that setting; it gets a temporary folder.
     """
     key = spark.sparkContext.applicationId
     if key not in _made:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _made[key] = f"{(base or tempfile.mkdtemp(prefix='mediaprism-')).rstrip('/')}/mediaprism-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _made[key])
     return _made[key]
@@ -60,6 +62,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what ``stored`` wrote so far; for long sessions, once the results that read it are written."""
+    folder = _made.get(spark.sparkContext.applicationId)
+    if folder:
+        _remove(spark, folder)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once a row, whatever Catalyst inlines."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
