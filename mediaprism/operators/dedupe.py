@@ -76,17 +76,26 @@ def deduplicate(df: DataFrame, options: DedupeOptions | None = None, url: Url |
     """The best row of each key: highest score, then first (or last) in order.  ``key`` names a ready key column."""
     options, url = options or DedupeOptions(), url or Url("url")
     value = F.col(key) if key else options.key(url) if options.key else key_of(url, options.strategy)
-    rank = F.struct(score(options, url, df.columns).alias("score"), (-F.col("ord") if options.keep_first else F.col("ord")).alias("order"))
-    best = df.withColumn("__key", value).groupBy("__key").agg(F.max_by(F.struct(*df.columns), rank).alias("__row"))
-    return best.select("__row.*")
+    points, row = score(options, url, df.columns), F.struct(*df.columns)
+    # ``ord`` may be of any ordered type, such as a struct of source, page and place
+    best = F.min_by(row, F.struct((-points).alias("points"), F.col("ord"))) if options.keep_first else F.max_by(row, F.struct(points.alias("points"), F.col("ord")))
+    return df.withColumn("__key", value).groupBy("__key").agg(best.alias("__row")).select("__row.*")
 
 
 def find_duplicates(df: DataFrame, strategy: str = "normalized", url: Url | None = None) -> DataFrame:
-    """(key, n, first) of keys with more than one row; join back on the key for the rows themselves."""
+    """(key, n, first) of keys with more than one row; ``duplicate_rows`` has the rows themselves."""
     groups = df.groupBy(key_of(url or Url("url"), strategy).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
     return groups.filter("n > 1")
 
 
+def duplicate_rows(df: DataFrame, strategy: str = "normalized", url: Url | None = None) -> DataFrame:
+    """The rows of keys with more than one row, with the key and the number of its rows.  The counts are joined back, so a
+    key of any number of rows is never in one place."""
+    keyed = df.withColumn("duplicate_key", key_of(url or Url("url"), strategy))
+    groups = keyed.groupBy("duplicate_key").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+    return keyed.join(groups, "duplicate_key").select(*df.columns, "duplicate_key", "n_rows")
+
+
 def count_duplicates(df: DataFrame, strategy: str = "normalized", url: Url | None = None) -> DataFrame:
     """One row: how many rows are more than one a key.  Counted by groups, so no key is held in memory."""
     groups = df.groupBy(key_of(url or Url("url"), strategy).alias("key")).agg(F.count(F.lit(1)).alias("n"))
@@ -115,11 +124,17 @@ def same_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.abs(a - b), F.greatest(a, b)) <= 0.1, F.lit(True))
 
 
+def is_size_variant(a: Url, b: Url, width_a: Column, height_a: Column, width_b: Column, height_b: Column) -> Column:
+    """Whether two URLs name one medium in two sizes.  The columns of ``a`` and ``b`` hold stripped URLs (``stripped_url``),
+    parsed by ``with_url``."""
+    return (domain(a) == domain(b)) & (normalize(a) == normalize(b)) & same_ratio(F.try_divide(width_a, height_a), F.try_divide(width_b, height_b))
+
+
 def group_size_variants(df: DataFrame, url: Url | None = None) -> DataFrame:
     """Adds ``variant``: the ordinal of the group's first row.  In order, a row joins the first earlier group seed that it
     is a variant of.  Ratios decide within a key; rows of one key and one ratio are one entry there, so a key's work grows
     with its distinct ratios, not its rows."""
-    df = with_variant_key(df, url)
+    df = with_variant_key(df, url)  # once: the joins below go back to these rows
     keys = ["variant_host", "variant_key"]
     ratio = F.coalesce(F.try_divide(F.col("width"), F.col("height")), F.lit(-1.0)).alias("ratio")
     entries = df.withColumn("__ratio", ratio).groupBy(*keys, "__ratio").agg(F.min("ord").alias("first"))

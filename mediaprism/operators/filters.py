@@ -90,9 +90,14 @@ def has_quality(url: Url) -> Column:
     return ~is_unwanted(url) & (good | ~any_pattern(url.raw, T.EXCLUDE_PATTERNS["thumbnails"]))
 
 
+def domain_group(url: Url) -> Column:
+    """The group of a row: its registered domain, ``unknown`` without one."""
+    return F.coalesce(F.nullif(registered_domain(url), F.lit("")), F.lit("unknown"))
+
+
 def group_by_domain(df: DataFrame, url: Url) -> DataFrame:
-    """(domain, n) by registered domain; ``unknown`` without one."""
-    return df.groupBy(F.coalesce(F.nullif(registered_domain(url), F.lit("")), F.lit("unknown")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    """(domain, n) by registered domain; rows keep their group as a column by ``domain_group``."""
+    return df.groupBy(domain_group(url).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- dimensions and sizes ------------------------------------------------------------------------------------------

@@ -85,30 +85,51 @@ class Extractor:
         return self._result(self._typed(items, threshold=False), filtered=False)
 
     def extract(self, df: DataFrame) -> Result:
-        """df(ord, source): absolute URLs are taken as such, other strings as HTML."""
+        """df(ord, source) and perhaps files and data: absolute URLs in ``source`` are taken as such, other strings as HTML;
+        without a source, rows with ``data`` are payloads and rows with ``files`` alone are file lists.
+
+        ``ord`` of the items is struct(row, place): the row's number and the item's place in it."""
         absolute = F.coalesce(is_absolute(F.col("source")), F.lit(False))
-        urls = self.from_url(df.filter(absolute).select("ord", F.col("source").alias("url")))
-        markup = self.from_html(df.filter(~absolute).select(F.col("ord").alias("page_id"), F.col("source").alias("html")))
-        items = urls.items.unionByName(markup.items.withColumn("ord", F.col("page_id") * (1 << 20) + F.col("ord")).drop("page_id"))
-        stats = urls.stats.unionByName(markup.stats)
-        return Result(items, stats.agg(*(F.sum(c).alias(c) for c in stats.columns)))
+        given = [F.col(c).isNotNull() if c in df.columns else F.lit(False) for c in ("data", "files")]
+        text = F.col("source").isNotNull() | ~(given[0] | given[1])
+        urls = self.from_url(df.filter(text & absolute).select("ord", F.col("source").alias("url")))
+        markup = self.from_html(df.filter(text & ~absolute).select(F.col("ord").alias("page_id"), F.col("source").alias("html")))
+        parts = [(urls, None), (markup, "page_id")]
+        if "data" in df.columns:
+            files = F.col("files") if "files" in df.columns else F.lit(None).cast("array<struct<name:string,type:string,size:bigint>>")
+            parts.append((self.from_payloads(df.filter(~text & given[0]).select(F.col("ord").alias("payload_id"), files.alias("files"), "data")), "payload_id"))
+        if "files" in df.columns:
+            listed = df.filter(~text & ~given[0] & given[1]).select("ord", F.posexplode("files").alias("place", "f")).select(F.struct("ord", "place").alias("ord"), "f.*")
+            parts.append((self.from_files(listed), "file"))
+        rows = None
+        for result, key in parts:
+            row, place = (F.col("ord"), F.lit(0)) if key is None else (F.col("ord.ord"), F.col("ord.place")) if key == "file" else (F.col(key), F.col("ord"))
+            items = result.items.withColumn("ord", F.struct(row.cast("long").alias("row"), place.cast("long").alias("place"))).select(*COLUMNS)
+            rows = items if rows is None else rows.unionByName(items)
+        return Result(rows, _summed([r.stats for r, _ in parts]))
 
     def from_all(self, results: list[Result]) -> Result:
-        """Several results in order: best of each normal form, filters once more, then the limit."""
-        parts = [r.items.withColumn("__source", F.lit(i)) for i, r in enumerate(results)]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p, allowMissingColumns=True)
-        rows = rows.withColumn("ord", F.col("__source").cast("long") * (1 << 40) + F.col("ord")).drop("__source")
+        """Several results in order: best of each normal form, filters once more, then the limit.
+
+        ``ord`` becomes struct(result, the key columns of any result, ord); the results' ``ord`` must have one type."""
+        keys = sorted({c for r in results for c in r.items.columns} - set(COLUMNS))
+        rows = None
+        for i, r in enumerate(results):
+            p = r.items.withColumn("__source", F.lit(i))
+            rows = p if rows is None else rows.unionByName(p, allowMissingColumns=True)
+        rows = rows.withColumn("ord", F.struct(F.col("__source").alias("source"), *keys, F.col("ord").alias("place"))).drop("__source")
         rows = with_url(rows, "url")
         if self.deduplication:
             rows = deduplicate(rows, DedupeOptions())
+        total = _summed([r.stats for r in results])
         kept = apply_filters(rows, self.filters).drop("url_parts", "url_parts_params")
+        count = lambda df, name: F.broadcast(df.agg(F.count(F.lit(1)).alias(name)))
+        kept_all = kept
         kept = kept.orderBy("ord").limit(self.max_items) if self.max_items else kept
-        stats = results[0].stats
-        for r in results[1:]:
-            stats = stats.unionByName(r.stats)
-        total = stats.agg(*(F.sum(c).alias(c) for c in stats.columns))
+        # items are counted after the filters and the limit; what the filters took is counted after the deduplication
+        total = total.drop("items_extracted", "items_filtered").join(count(rows, "__rows")).join(count(kept_all, "__kept"))
+        shown = F.least(F.col("__kept"), F.lit(self.max_items)) if self.max_items else F.col("__kept")
+        total = total.withColumns({"items_extracted": shown, "items_filtered": F.col("__rows") - F.col("__kept")}).select(*results[0].stats.columns)
         return Result(kept, total)
 
     # ---- assembly --------------------------------------------------------------------------------------------------
@@ -145,6 +166,14 @@ class Extractor:
         return Result(kept.select(*carry, *COLUMNS), stats)
 
 
+def _summed(stats: list[DataFrame]) -> DataFrame:
+    """One row: the sums of rows of statistics."""
+    rows = stats[0]
+    for s in stats[1:]:
+        rows = rows.unionByName(s)
+    return rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in stats[0].columns))
+
+
 DEFAULT = Extractor()
 
 
@@ -167,8 +196,13 @@ def with_verdicts(df: DataFrame, url: str = "url", scanner: Scanner | None = Non
     return df.withColumn("is_blocked", scanner.is_blocked(u)).drop(f"{url}_parts", f"{url}_parts_params")
 
 
-def binary_files(spark, path: str) -> DataFrame:
-    """(ord, name, type, size) of the files below a path, types by their first bytes; for ``from_files``."""
+def binary_files(spark, path: str, sniff_up_to: int = 64 << 20) -> DataFrame:
+    """(ord, name, type, size) of the files below a path, for ``from_files``.
+
+    Types are those of the first bytes.  Spark's file source reads a file as a whole, so only files of ``sniff_up_to`` bytes
+    or less are opened; the content of larger ones isn't read, and their type is left to the extension."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.xxhash64("path").alias("ord"), name.alias("name"), F.coalesce(mime_of_bytes(F.substring("content", 1, 16)), F.lit("")).alias("type"), F.col("length").alias("size"))
+    kind = F.coalesce(mime_of_bytes(F.substring("content", 1, 16)), F.lit(""))
+    shape = lambda df, kind: df.select(F.xxhash64("path").alias("ord"), name.alias("name"), kind.alias("type"), F.col("length").alias("size"))
+    return shape(files.filter(F.col("length") <= sniff_up_to), kind).unionByName(shape(files.filter(F.col("length") > sniff_up_to), F.lit("")))

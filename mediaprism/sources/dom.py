@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from ..functions.whatwg import resolve
-from .html import Element, _ancestors, _link_of, _Reader, _side, background_url, matches
+from .html import Element, _link_of, _Reader, _side, background_url, matches, sources_by_player
 
 _UI_WORDS = ("icon", "btn", "button", "logo", "avatar", "thumbnail")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)", re.I)
@@ -29,15 +29,13 @@ def hint_of(e: Element, width: float | None, height: float | None) -> str:
 def dom_candidates(html: str, base: str | None, types: tuple[str, ...], selectors: tuple[str, ...] = (), ignored: tuple[str, ...] = (), backgrounds: bool = True, include_hidden: bool = False, min_width: float = 1, min_height: float = 1) -> list[tuple]:
     """Rows shaped as those of the HTML reader."""
     elements = _Reader(html).all
+    sources = sources_by_player(elements)
     out: list[tuple] = []
 
     def add(step: int, url: str | None, expect: str = "", wanted: str = "", hint: str = "unknown", **more) -> None:
         if url:
             out.append((step, len(out), url, expect, wanted, hint, *(more.get(k) for k in ("width", "height", "alt", "title", "srcset", "link_url"))))
 
-    def inside(e: Element) -> list[Element]:
-        return [s for s in elements if s.tag == "source" and any(a is e for a in _ancestors(s.up))]
-
     for e in elements:
         if (not include_hidden and not is_visible(e)) or any(matches(e, s) for s in ignored):
             continue
@@ -49,7 +47,7 @@ def dom_candidates(html: str, base: str | None, types: tuple[str, ...], selector
             add(1, source, "image", hint=hint_of(e, **size), alt=a.get("alt") or None, title=a.get("title") or None, link_url=_link_of(e, base), **size)
         elif e.tag in ("video", "audio") and e.tag in types:
             add(5, source, e.tag, title=(a.get("title") or None) if e.tag == "video" else None, **(size if e.tag == "video" else {}))
-            for s in inside(e):
+            for s in sources[id(e)]:
                 add(5, resolve(s.attrs.get("src", ""), base), e.tag, hint="secondary")
             if e.tag == "video" and "image" in types:
                 add(5, resolve(a.get("poster", ""), base), "=image", hint="secondary")

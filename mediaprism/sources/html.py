@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import defaultdict
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import quote
 
@@ -37,7 +38,10 @@ class Element:
     up: Element | None
     start: int = 0
     end: int = 0
-    children: list[Element] = field(default_factory=list)
+    #: nearest of this element and those around it that are a link with a target, or a player
+    link: Element | None = None
+    player: Element | None = None
+    in_picture: bool = False
 
 
 class _Reader(HTMLParser):
@@ -48,6 +52,7 @@ class _Reader(HTMLParser):
         self.text, self.all = html, []
         self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
         self.stack: list[Element] = []
+        self.open: defaultdict[str, int] = defaultdict(int)
         self.feed(html)
         self.close()
         while self.stack:
@@ -58,11 +63,14 @@ class _Reader(HTMLParser):
         return self.lines[line - 1] + column
 
     def _pop(self, at: int) -> None:
-        self.stack.pop().end = at
+        element = self.stack.pop()
+        element.end = at
+        self.open[element.tag] -= 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag in _CLOSES.get(tag, ()):
+        ends = _CLOSES.get(tag, ())
+        for k in range(len(self.stack) - 1, -1, -1) if any(self.open[x] for x in ends) else ():
+            if self.stack[k].tag in ends:
                 while len(self.stack) > k:
                     self._pop(self._at())
                 break
@@ -73,14 +81,18 @@ class _Reader(HTMLParser):
         for name, value in attrs:
             seen.setdefault(name, value or "")
         element = Element(tag, seen, up, self._at(), self._at() + len(self.get_starttag_text() or ""))
+        element.link = element if tag == "a" and seen.get("href") else up.link if up else None
+        element.player = element if tag in ("video", "audio") else up.player if up else None
+        element.in_picture = bool(up) and (up.tag == "picture" or up.in_picture)
         self.all.append(element)
         if tag not in VOID and not (self.get_starttag_text() or "").endswith("/>"):
             self.stack.append(element)
+            self.open[tag] += 1
 
     handle_startendtag = handle_starttag
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
+        for k in range(len(self.stack) - 1, -1, -1) if self.open[tag] else ():
             if self.stack[k].tag == tag:
                 end = self.text.find(">", self._at()) + 1 or len(self.text)
                 while len(self.stack) > k:
@@ -142,10 +154,18 @@ def _side(text: str | None) -> float | None:
 
 
 def _link_of(e: Element, base: str | None) -> str | None:
-    for a in _ancestors(e):
-        if a.tag == "a" and a.attrs.get("href"):
-            return resolve(a.attrs["href"], base)
-    return None
+    return resolve(e.link.attrs["href"], base) if e.link else None
+
+
+def sources_by_player(elements: list[Element]) -> dict[int, list[Element]]:
+    """The source elements in each player, by the player's identity."""
+    out: dict[int, list[Element]] = defaultdict(list)
+    for e in elements:
+        player = e.up.player if e.tag == "source" and e.up else None
+        while player:
+            out[id(player)].append(e)
+            player = player.up.player if player.up else None
+    return out
 
 
 def candidates(html: str, base: str | None, types: tuple[str, ...], selectors: tuple[str, ...] = (), ignored: tuple[str, ...] = (), srcset: bool = True, backgrounds: bool = True, links: bool = True) -> list[tuple]:
@@ -163,9 +183,6 @@ def candidates(html: str, base: str | None, types: tuple[str, ...], selectors: t
         named = any(w in e.attrs.get("class", "").lower() for w in ("icon", "btn", "logo", "avatar"))
         return "primary" if k == 0 else "ui-element" if all(0 < s <= 32 for s in sides) or named else "unknown"
 
-    def inside(e: Element, tag: str) -> bool:
-        return any(a.tag == tag for a in _ancestors(e.up))
-
     if "image" in types:
         k = 0
         for e in elements:
@@ -178,7 +195,7 @@ def candidates(html: str, base: str | None, types: tuple[str, ...], selectors: t
             for url in parse_srcset(a.get("srcset", ""), base) if srcset else ():
                 add(1, url, hint="secondary")
         for e in elements:
-            if e.tag == "source" and inside(e, "picture"):
+            if e.tag == "source" and e.in_picture:
                 for url in parse_srcset(e.attrs.get("srcset", ""), base):
                     add(2, url, hint="secondary")
         for e in elements:
@@ -189,17 +206,17 @@ def candidates(html: str, base: str | None, types: tuple[str, ...], selectors: t
                 add(3, "data:image/svg+xml," + quote(html[e.start : e.end], safe="!'()*-._~"), "=image", **size)
         for e in elements if backgrounds else ():
             add(4, background_url(e.attrs.get("style", ""), base), wanted="image", hint="secondary", link_url=_link_of(e, base))
+    kept, sources = {id(e) for e in elements}, sources_by_player(reader.all)
     for step, kind in ((5, "video"), (6, "audio")):
         if kind not in types:
             continue
         for k, e in enumerate(e for e in reader.all if e.tag == kind):
-            if ignored and e not in elements:
+            if id(e) not in kept:
                 continue
             size = {"width": _side(e.attrs.get("width")), "height": _side(e.attrs.get("height"))} if kind == "video" else {}
             add(step, resolve(e.attrs.get("src", ""), base), kind, hint="primary" if k == 0 else "unknown", **size)
-            for s in reader.all:
-                if s.tag == "source" and any(a is e for a in _ancestors(s.up)):
-                    add(step, resolve(s.attrs.get("src", ""), base), kind, hint="secondary")
+            for s in sources[id(e)]:
+                add(step, resolve(s.attrs.get("src", ""), base), kind, hint="secondary")
             if kind == "video" and "image" in types:
                 add(step, resolve(e.attrs.get("poster", ""), base), "=image", hint="secondary")
     if links:

@@ -40,32 +40,48 @@ def parse_urls(df: DataFrame, url: str = "url", media_types: tuple[str, ...] | N
 _ITEM = ["ord", "sub", "url", "source", "media_type", "format", "filename", "hint", "confidence", "dedupe_key", "embedded_from", "is_shortener", "redirect_count"]
 
 
+def _with_item(df: DataFrame, url: str, out: str, media_types: tuple[str, ...] | None, **more: Column) -> DataFrame:
+    """Adds the item of a URL column as a struct, null where ``parse_urls`` would drop the row."""
+    u = Url(url)
+    df = with_redirects(with_url(df, url), u, f"{out}_n").withColumn(f"{out}_ext", barrier(extension(u)))
+    df = with_detection(df, u, out=f"{out}_d", ext=f"{out}_ext")
+    kind = F.col(f"{out}_d.type")
+    keep = is_absolute(u.raw) | is_data_url(u.raw) | is_blob_url(u.raw)
+    keep = keep & kind.isin(*media_types) if media_types is not None else keep
+    source = F.when(is_data_url(u.raw), "data-url").when(is_blob_url(u.raw), "blob-url").otherwise("text-url")
+    values = {"url": F.col(url), "source": source, "media_type": kind, "format": F.col(f"{out}_ext"), "filename": filename(u), "confidence": F.col(f"{out}_d.confidence"), "dedupe_key": normalize(u), "is_shortener": is_shortener(u), "redirect_count": F.col(f"{out}_n"), **more}
+    item = F.struct(*(v.alias(k) for k, v in values.items()))
+    return df.withColumn(out, barrier(F.when(keep, item))).drop(f"{out}_n", f"{out}_ext", f"{out}_d")
+
+
 def parse_with_embedded(df: DataFrame, url: str = "url", media_types: tuple[str, ...] | None = T.MEDIA_TYPES, prefer_embedded: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The URLs and the URLs within them, as rows (ord, sub, ...): the preferred one of a pair comes first."""
-    main = parse_urls(df, url, media_types)
-    inner = F.when(embedded_url(Url(url)) != F.col(url), embedded_url(Url(url)))
-    main = main.withColumn("__inner", barrier(inner))
-    within = parse_urls(main.filter("__inner IS NOT NULL").select("ord", *carry, F.col(url).alias("embedded_from"), F.col("__inner").alias("url")), "url", media_types)
-    has = within.select("ord", *carry, F.lit(True).alias("__has"))
-    within = within.withColumns({"source": F.lit("embedded"), "hint": F.lit("primary" if prefer_embedded else "secondary"), "sub": F.lit(0 if prefer_embedded else 2)})
-    main = main.join(has, ["ord", *carry], "left").withColumns({"hint": F.when(F.col("__has"), "secondary" if prefer_embedded else "primary").otherwise(F.col("hint")), "sub": F.lit(1), "embedded_from": F.lit(None).cast("string")})
-    if url != "url":
-        main = main.withColumnRenamed(url, "url")
-    names = [*carry, *_ITEM]
-    return main.select(*names).unionByName(within.select(*names))
+    """The URLs and the URLs within them, as rows (ord, sub, ...): the preferred one of a pair comes first.
+
+    A URL and the one within it are parsed in the same row, so nothing is joined or read twice."""
+    u = Url("__url")
+    df = df.select("ord", *carry, F.col(url).alias("__url")).filter(is_absolute(F.col("__url")) | is_data_url(F.col("__url")) | is_blob_url(F.col("__url")))
+    df = _with_item(df, "__url", "__main", media_types).withColumn("__inner", barrier(F.when(embedded_url(u) != u.raw, embedded_url(u))))
+    df = _with_item(df.filter("__main IS NOT NULL").drop("__url_parts", "__url_parts_params"), "__inner", "__within", media_types)
+    names = [x for x in _ITEM if x not in ("ord", "sub", "hint", "embedded_from", "source")]
+    pick = lambda of, **fixed: F.struct(*(F.col(f"{of}.{n}").alias(n) for n in names), *(F.lit(v).alias(k) if not isinstance(v, Column) else v.alias(k) for k, v in fixed.items()))
+    has = F.col("__within").isNotNull()
+    main = pick("__main", sub=1, hint=F.when(has, "secondary" if prefer_embedded else "primary").otherwise("unknown"), embedded_from=F.lit(None).cast("string"), source=F.col("__main.source"))
+    within = pick("__within", sub=0 if prefer_embedded else 2, hint="primary" if prefer_embedded else "secondary", embedded_from=F.col("__url"), source="embedded")
+    rows = df.select("ord", *carry, F.explode(F.array_compact(F.array(main, F.when(has, within)))).alias("__item"))
+    return rows.select(*carry, *(F.col(n) if n == "ord" else F.col(f"__item.{n}").alias(n) for n in _ITEM))
 
 
 def first_seen(items: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """The first row of each key (within a group); a group's first row becomes ``primary`` if it has no hint."""
     order = F.struct("ord", "sub")
     best = items.groupBy(*group, "dedupe_key").agg(F.min_by(F.struct(*items.columns), order).alias("r")).select("r.*")
-    least = best.groupBy(*group).agg(F.min(F.struct("ord", "sub")).alias("__least")) if group else None
     if group:
-        best = best.join(least, list(group))
-        start = F.struct("ord", "sub") == F.col("__least")
+        best = best.join(best.groupBy(*group).agg(F.min(order).alias("__least")), list(group))
     else:
-        found = best.agg(F.min(F.struct("ord", "sub")).alias("m")).first()["m"]  # one row
-        start = (F.col("ord") == found["ord"]) & (F.col("sub") == found["sub"]) if found else F.lit(False)
+        # one row; it takes all columns, so that both sides of the join read one shuffle
+        best = best.join(F.broadcast(best.agg(F.min_by(F.struct(*best.columns), order).alias("__r"))))
+        best = best.withColumn("__least", F.struct(F.col("__r.ord").alias("ord"), F.col("__r.sub").alias("sub"))).drop("__r")
+    start = F.struct("ord", "sub") == F.col("__least")
     return best.withColumn("hint", F.when(start & (F.col("hint") == "unknown"), "primary").otherwise(F.col("hint"))).drop("__least")
 
 
