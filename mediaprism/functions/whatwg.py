@@ -115,6 +115,8 @@ def parse(url: str, base: str | None = None) -> dict[str, str | None] | None:
             out |= {"path": known["path"], "query": query if mark else known["query"], "opaque": known["opaque"]}
         else:
             out["path"] = _path(body[1:] if slashes else body, special, [] if slashes else above)
+    elif scheme == "file" and len(slashes) < 2:
+        out["path"] = _path(body[1:] if slashes else body, special, [])  # no host without two slashes
     elif special or slashes.startswith("//"):
         after = body[len(slashes) :] if special and scheme != "file" else body[min(2, len(slashes)) :]
         end = re.search(r"[/\\]" if special else "/", after)

@@ -98,6 +98,12 @@ def test_embedded(spark):
     assert [r.redirects for r in U.with_redirects(df, URL).orderBy("i").collect()] == [1, 2, 1, 0]
 
 
+def test_file_urls_without_a_host():
+    parts = lambda u: (whatwg.parse(u)["host"], whatwg.parse(u)["path"], whatwg.parse(u)["href"])
+    assert parts("file:10/0/a b.JPG") == ("", "/10/0/a%20b.JPG", "file:///10/0/a%20b.JPG") and parts("file:/x/../y") == ("", "/y", "file:///y")
+    assert parts("file:///x") == ("", "/x", "file:///x") and parts("file://h/x") == ("h", "/x", "file://h/x")
+
+
 def test_filenames(spark):
     urls = ["https://example.com/my%20photo.jpg", "https://example.com/img?format=webp", "https://example.com/file.toolongextension", "https://example.com/", "https://e.com/a.tar.GZ", "data:image/svg+xml,x", "https://e.com/.hidden"]
     assert values(spark, urls, N.filename(URL)) == ["my photo", "img", "file", "file", "a.tar", "file", "hidden"]
