@@ -118,7 +118,7 @@ def test_scanner(spark):
 def test_homograph_letters(spark):
     df = spark.createDataFrame([("gοοgle.com",), ("bücher.de",), ("plain.com",), ("ελ",)], "h string")
     found = [r[0] for r in df.select(security.homograph_threat(F.col("h"))).collect()]
-    assert found[0].severity == "medium" and "'ο' looks like 'o'" in found[0].description and found[1].severity == "low" and found[2] is None and found[3] is None
+    assert found[0].severity == "medium" and "'ο' for 'o'" in found[0].description and found[1].severity == "low" and found[2] is None and found[3] is None
 
 
 def test_sanitizers(spark):
