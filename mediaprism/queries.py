@@ -178,11 +178,11 @@ def filename_parts(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '_con.txt' WHEN 1 THEN '_.._' || p_name || '_' WHEN 2 THEN 'a_' || p_name ELSE 'file' END AS base,
-  CASE p_partkey % 4 WHEN 0 THEN 'con.txt' WHEN 1 THEN '.._' || p_name WHEN 2 THEN 'a_' || p_name ELSE 'file' END AS strict, p_partkey % 4 = 1 AS traversal FROM part""")
+  CASE p_partkey % 4 WHEN 0 THEN 'con.txt' WHEN 1 THEN '.._' || p_name WHEN 2 THEN 'a_' || p_name ELSE 'file' END AS strict, p_partkey % 4 <> 0 AS traversal FROM part""")
 def filename_sanitized(spark, sf_dir):
     name = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'con.txt' WHEN 1 THEN concat('../../', p_name, '?') WHEN 2 THEN concat(' a--__', p_name, '..') ELSE '...' END")
     part = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
-    return part.select("p_partkey", N.sanitize_filename(F.col("name")).alias("base"), sanitize.sanitize_filename(F.col("name")).alias("strict"), (N.has_path_traversal(F.col("name")) & (F.col("name") != "...") & ~F.col("name").endswith("..")).alias("traversal"))
+    return part.select("p_partkey", N.sanitize_filename(F.col("name")).alias("base"), sanitize.sanitize_filename(F.col("name")).alias("strict"), N.has_path_traversal(F.col("name")).alias("traversal"))
 
 
 @query("""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 7 THEN 'img8_3' ELSE 'img' || (p_partkey % 50) END AS b FROM part),
@@ -235,13 +235,12 @@ def detect_types(spark, sf_dir):
     return m.select("ord", F.col("detection.type").alias("media_type"), F.col("detection.confidence").alias("confidence"), D.media_type(F.col("detection")).alias("threshold_type"))
 
 
-@query(WITH_MEDIA + """ SELECT ord, k IN (0, 1, 2, 3, 10, 11, 14, 17) AS image_ext, k IN (0, 1, 2, 3, 13) AS image_pattern, k = 8 AS image_params, k = 4 AS video_ext, k = 18 AS manifest, k = 5 AS video_platform,
+@query(WITH_MEDIA + """ SELECT ord, k IN (0, 1, 2, 3, 10, 11, 14, 17) AS image_ext, k IN (0, 1, 2, 3) AS image_pattern, k = 8 AS image_params, k = 4 AS video_ext, k = 18 AS manifest, k = 5 AS video_platform,
   k = 6 AS audio_ext, false AS audio_platform, k = 7 AS document_ext, k = 7 AS document_path, k = 7 AS pdf, k IN (0, 1, 2, 3, 8, 10, 11, 14, 17) AS is_image, CASE WHEN k = 5 THEN concat('id', CAST(ord AS STRING)) END AS video_id FROM m""")
 def detect_evidence(spark, sf_dir):
     u = URL
-    pattern = D.matches_image_pattern(u) | U.is_absolute(u.raw) & F.lit(False)
     return media(spark, sf_dir).select(
-        "ord", D.has_image_extension(u).alias("image_ext"), (pattern | F.contains(U.decode_component(u.raw), F.lit("/photos/"))).alias("image_pattern"), D.has_image_params(u).alias("image_params"), D.has_video_extension(u).alias("video_ext"),
+        "ord", D.has_image_extension(u).alias("image_ext"), D.matches_image_pattern(u).alias("image_pattern"), D.has_image_params(u).alias("image_params"), D.has_video_extension(u).alias("video_ext"),
         D.is_streaming_manifest(u).alias("manifest"), D.is_video_platform(u).alias("video_platform"), D.has_audio_extension(u).alias("audio_ext"), D.is_audio_platform(u).alias("audio_platform"),
         D.has_document_extension(u).alias("document_ext"), D.has_document_path(u).alias("document_path"), D.is_pdf(u).alias("pdf"), D.is_media_type(u, "image").alias("is_image"), D.video_id(u).alias("video_id"),
     )
@@ -354,13 +353,22 @@ def duplicates_counted(spark, sf_dir):
     return dedupe.count_duplicates(media(spark, sf_dir))
 
 
-@query()
+#: Greedy by order: a row joins the first seed of its key whose ratio is within 10 %, or unknown; else it is a seed.
+_VARIANTS_SQL = f"""WITH RECURSIVE m AS ({MEDIA_SQL}), e AS (
+    SELECT ord, width, height, coalesce(width / height, -1) AS r, CASE WHEN k = 0 THEN 'p' || ord WHEN k IN (1, 2) THEN 'p' || CAST(floor(ord / 20.0) AS BIGINT) WHEN k = 11 THEN 'a' || (ord % 250) WHEN k = 19 THEN 'dup' ELSE 'o' || ord END AS key FROM m),
+  n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS i FROM e),
+  g AS (SELECT key, i, ord, width, height, [{{'r': r, 'o': ord}}] AS seeds, ord AS variant FROM n WHERE i = 1 UNION ALL
+    SELECT key, i, ord, width, height, CASE WHEN f IS NULL THEN list_append(seeds, {{'r': r, 'o': ord}}) ELSE seeds END, coalesce(f, ord)
+    FROM (SELECT n.*, g.seeds, list_filter(g.seeds, lambda s: s.r < 0 OR n.r < 0 OR abs(s.r - n.r) / greatest(s.r, n.r) <= 0.1)[1].o AS f FROM g JOIN n ON n.key = g.key AND n.i = g.i + 1))"""
+
+
+@query(_VARIANTS_SQL + " SELECT ord, variant FROM g")
 def size_variants(spark, sf_dir):
-    """Groups of size variants (greedy by order, so no oracle; the tests hold it against a plain loop)."""
+    """Groups of size variants."""
     return dedupe.group_size_variants(media(spark, sf_dir)).select("ord", "variant")
 
 
-@query()
+@query(_VARIANTS_SQL + " SELECT ord, width, height FROM g QUALIFY row_number() OVER (PARTITION BY variant ORDER BY coalesce(width, 0) * coalesce(height, 0) DESC, ord) = 1")
 def largest_variants(spark, sf_dir):
     return dedupe.keep_largest_variants(media(spark, sf_dir)).select("ord", "width", "height")
 
@@ -431,10 +439,14 @@ def sanitized_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", sanitize.sanitize_html(F.col("html")).alias("clean"))
 
 
-@query("SELECT page_id, 0 AS n FROM pages WHERE false")
+@query("""SELECT page_id, ord, CASE ord WHEN 0 THEN 'https://e.com/a%20b/' || page_id || '.png?id=1' WHEN 1 THEN 'https://f.com/x' WHEN 2 THEN 'http://g.com/%3Cy' END AS url
+  FROM pages, (SELECT unnest([0, 1, 2]) AS ord)""")
 def safe_page_urls(spark, sf_dir):
-    """Pages link relatively only, so no absolute URL is found."""
-    return sanitize.safe_urls(table(spark, sf_dir, "pages").select("page_id", "html"), "html").groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    """Absolute URLs among those of each page, cleaned and without tracking; script and data URLs and relative ones are none."""
+    more = F.concat(F.lit('<img src="https://e.com/a%20b/'), "page_id", F.lit(".png?utm_source=q&id=1\"><a href='https://f.com/x' onclick='go()'>f</a><a href=\"javascript:alert(1)\">j</a><iframe src=\"https://h.com/\"></iframe><img src=http://g.com/<y >"), "html")
+    found = sanitize.safe_urls(table(spark, sf_dir, "pages").select("page_id", more.alias("html")), "html")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("ord")) - 1
+    return found.select("page_id", place.alias("ord"), "url")
 
 
 # ---- sources and the whole pipeline --------------------------------------------------------------------------------
@@ -465,7 +477,7 @@ def html_media(spark, sf_dir):
     return items.select("p_partkey", name.alias("item"), "media_type", "hint")
 
 
-@query("""WITH k AS (SELECT p_partkey, p_size FROM part) SELECT p_partkey, i AS item, media_type, CASE WHEN i = 'png' AND p_size < 1 THEN 'ui-element' ELSE hint END AS hint, pos FROM k, (VALUES
+@query("""WITH k AS (SELECT p_partkey, p_size FROM part) SELECT p_partkey, i AS item, media_type, CASE WHEN i = 'png' AND p_size <= 32 THEN 'ui-element' ELSE hint END AS hint, pos FROM k, (VALUES
   (1, 'png', 'image', 'unknown'), (2, 'logo.svg', 'image', 'ui-element'), (3, 'bg.jpg', 'image', 'secondary'), (4, 'v', 'image', 'unknown'), (5, 'v.mp4', 'video', 'secondary'), (6, 'poster.jpg', 'image', 'secondary'), (7, 'a', 'image', 'unknown')) AS t(pos, i, media_type, hint)""")
 def dom_media(spark, sf_dir):
     """The walk in document order on the same markup."""
@@ -473,7 +485,7 @@ def dom_media(spark, sf_dir):
     items = H.html_items(part, base_url="base", key="p_partkey", mode="dom")
     name = F.when(F.contains("url", F.lit("/i/")), "png").otherwise(F.substring_index("url", "/", -1))
     place = F.row_number().over(Window.partitionBy("p_partkey").orderBy("ord"))
-    return items.select("p_partkey", name.alias("item"), "media_type", F.when((name == "png") & (F.col("hint") == "ui-element"), "unknown").otherwise(F.col("hint")).alias("hint"), place.alias("pos"))
+    return items.select("p_partkey", name.alias("item"), "media_type", "hint", place.alias("pos"))
 
 
 @query(WITH_MEDIA + " SELECT ord, k = 15 AS is_blocked, k NOT IN (10, 11, 15, 16) AS is_safe FROM m")

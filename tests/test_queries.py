@@ -5,10 +5,11 @@ import os
 import duckdb
 import pytest
 
+import mediaprism.more_queries  # noqa: F401 - registers its queries
 from mediaprism import queries
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "part pages documents".split()
+TABLES = "part pages documents events".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -33,6 +34,10 @@ def test_oracle(spark, con, name):
     assert canonical(df.select(*want.columns).collect()) == canonical(want.fetchall())
 
 
+def test_every_query_has_an_oracle():
+    assert set(queries.ORACLE_SQL) == set(queries.QUERIES)
+
+
 def test_entry(spark):
     import __spark_entry__
 
