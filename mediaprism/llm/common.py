@@ -9,7 +9,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,13 @@ def clear(spark: SparkSession) -> None:
         _remove(spark, folder)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a task holds for a batch of long texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once a row, whatever Catalyst inlines."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

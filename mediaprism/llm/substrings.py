@@ -34,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import sliced, stored, table
 
 WINDOW, GRAM = 35, 8
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Word hashes that a worker remembers before it starts anew.
-CACHE = 500_000
+CACHE = 100_000
 
 
 class _Words(dict):
@@ -114,7 +114,7 @@ def _seeds(window: int, gram: int):
     """(doc_id, text_hash, key, content, a, b) for every run; rows with a null key hold windows that repeat within a run."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             row, cols = [], []
             for k, text in enumerate(batch.column(2)):
                 found = text.as_py().encode().split() if text.is_valid else []
@@ -154,7 +154,7 @@ def _windows(window: int):
     """(doc_id, text_hash, key, hash, at, weight) for every window of the runs to verify."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for k, (text, todo) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 h = Hashed(text.as_py().encode().split())
                 x = todo.values.flatten()
@@ -204,7 +204,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 def _kept(window: int, wanted: bool):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, n_removed, digest, texts = [], [], [], []
             for text, ranges in zip(batch.column("text"), batch.column("__ranges"), strict=True):
                 found = text.as_py().encode().split() if text.is_valid else []

@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import sliced, stored, table
 
 BITS, MAX_ROWS, EPOCHS, THRESHOLD = 20, 12_000, 4, 0.7
 MAX_PLACES = 16_000_000
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 _STRIP = b""".,;:!?"'()[]{}<>*#%&$|_-"""
-CACHE = 500_000
+CACHE = 100_000
 
 
 class _Words(dict):
@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_plac
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [np.unique(all_features(x.as_py())) for x in batch.column(1)]
             hashes = [xxhash.xxh3_64_intdigest(x.as_py() or "") - (1 << 63) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array([len(x) for x in rows], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], ["doc_id", "h", "n", "places"])
@@ -119,10 +119,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_plac
     examples = found.join(F.broadcast(taken), ["doc_id", "h"]).select("rank", F.col("doc_id").cast("string").alias("id"), "label", "h", "places")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows = []
+        for batch in batches:  # features stay in the batches' buffers, and are not copied
+            keys = zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)
+            rows += [(*k, np.frombuffer(p.as_buffer(), np.uint32) if len(p.as_buffer()) else np.zeros(0, np.uint32)) for k, p in zip(keys, batch.column(4), strict=True)]
         if rows:
             rows.sort(key=lambda r: r[:4])
-            places, weights, intercept = fit([(np.frombuffer(r[4], np.uint32), r[2]) for r in rows])
+            places, weights, intercept = fit([(r[4], r[2]) for r in rows])
             yield pa.RecordBatch.from_pydict({"places": [places.tobytes()], "weights": [weights.tobytes()], "intercept": [intercept]})
 
     model = examples.coalesce(1).mapInArrow(fitted, "places binary, weights binary, intercept double").collect()  # one row
@@ -141,7 +144,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], ke
         places, weights, intercept = shared.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[places] = weights
-        for batch in batches:
+        for batch in sliced(batches):
             got = []
             for text in batch.column("text"):
                 at = all_features(text.as_py())
