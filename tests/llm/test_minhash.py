@@ -59,3 +59,35 @@ def test_components_equal_brute_force(spark, make):
     kept = minhash.keep_first(make(rows)).select("doc_id").collect()
     assert sorted(x.doc_id for x in kept) == sorted({min(d for i, (d, _) in enumerate(rows) if at[i] == c and d is not None) for c in set(at)})
     assert minhash.keep_first(make([])).count() == 0
+
+
+def test_blocks_of_a_drifting_group(spark, make, monkeypatch):
+    """Near copies that drift apart, cut into many small blocks: the same components as all pairs give."""
+    r, base = random.Random(11), [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(r.randrange(0, 5)):
+            words[r.randrange(60)] = f"x{r.randrange(400)}"
+        texts.append(" ".join(words))
+    docs = make([(i, t) for i, t in enumerate(texts)])
+    sets = [set(minhash.shingle_set(t).tolist()) for t in texts]
+    root = list(range(150))
+    for a in range(150):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if k in (x, y) else k for k in root]
+    want = sorted(tuple(i for i in range(150) if root[i] == k) for k in set(root))
+
+    def groups():
+        out = {}
+        for x in minhash.near_duplicates(docs).collect():
+            out.setdefault(x.root, []).append(x.doc_id)
+        return sorted(tuple(sorted(g)) for g in out.values())
+
+    assert groups() == want and 1 < len(want) < 150
+    for nodes, shingles in ((7, 1 << 20), (1024, 500)):
+        monkeypatch.setattr(minhash, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+        assert groups() == want
