@@ -5,8 +5,9 @@ space, so a text can be cut there and each piece encoded alone.  (Cutting only t
 split depends on what follows, within one piece.)  A text that holds the string of a special token is encoded as a whole
 by the library.
 
-The frequent pieces are those of a sample, the first ``SAMPLE`` characters of every partition: a second pass over all texts
-would cost as much as encoding them.  The table only saves work: what it holds or lacks never changes a count.
+The frequent pieces are counted over all documents, whole texts, in a pass of its own.  Pieces that are rare in a partition
+may be forgotten while counting, so counts near the end of the table are not exact; the table only saves work, and what it
+holds or lacks never changes a result.
 
 Null texts count as empty, with no tokens.  Repeated rows and ids give repeated rows.  An empty table gives an empty
 result.  Very long texts are streamed piece by piece; other columns are not looked at.
@@ -27,14 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: Pieces in the broadcast table; with at most MAX_PIECE characters each it stays under 3 MB.
 FREQUENT, MAX_PIECE = 32_768, 48
-#: Characters of a partition that the table is drawn from.
-SAMPLE = 1 << 19
 #: Pieces in a worker's own cache, which is emptied when it is full.
 CACHE = 400_000
 #: Longer pieces go to the library itself.
@@ -108,51 +107,55 @@ def _trimmed(counts: Counter, size: int) -> Counter:
     return Counter(dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]))
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a partition: counts of the most frequent pieces of its first texts."""
-    counts: Counter = Counter()
-    left = SAMPLE
-    for batch in batches:
-        for text in batch.column(0):
-            if text.is_valid and left > 0:
-                part = text.as_py()[:left]
-                counts.update(CUT.split(part)[1:])
-                left -= len(part)
-        if left <= 0:
-            break
-    kept = _trimmed(Counter({k: v for k, v in counts.items() if len(k) <= MAX_PIECE}), FREQUENT // 4)
-    yield pa.RecordBatch.from_pydict({"counts": [pickle.dumps(kept)]})
+def _summaries(size: int):
+    """One row a partition: counts of its most frequent pieces.  Rare pieces are dropped while counting."""
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in sliced(batches):
+            for text in batch.column(0):
+                if text.is_valid:
+                    counts.update(CUT.split(text.as_py())[1:])
+                    if len(counts) > 8 * size:
+                        counts = _trimmed(counts, 2 * size)
+        kept = _trimmed(Counter({k: v for k, v in counts.items() if len(k) <= MAX_PIECE}), size // 4)
+        yield pa.RecordBatch.from_pydict({"counts": [pickle.dumps(kept)]})
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for blob in batch.column(0):
-            counts.update(pickle.loads(blob.as_py()))
-            if len(counts) > 8 * FREQUENT:
-                counts = _trimmed(counts, 4 * FREQUENT)
-    yield pa.RecordBatch.from_pydict({"counts": [pickle.dumps(_trimmed(counts, FREQUENT))]})
+    return made
 
 
-def frequent_pieces(docs: DataFrame, path: str) -> dict[str, int]:
-    """Token counts of the most frequent pieces of the sample.
+def _merged(size: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for blob in batch.column(0):
+                counts.update(pickle.loads(blob.as_py()))
+                if len(counts) > 8 * size:
+                    counts = _trimmed(counts, 4 * size)
+        yield pa.RecordBatch.from_pydict({"counts": [pickle.dumps(_trimmed(counts, size))]})
+
+    return made
+
+
+def frequent_pieces(docs: DataFrame, path: str, size: int = FREQUENT) -> dict[str, int]:
+    """Token counts of the ``size`` most frequent pieces over all documents.
 
     Each partition sends one summary of bounded size; summaries are merged in two steps, so no piece is shuffled and the
     driver gets one summary.
     """
-    parts = docs.select("text").mapInArrow(_summaries, "counts binary")
+    parts = docs.select("text").mapInArrow(_summaries(size), "counts binary")
     n = max(1, round(parts.rdd.getNumPartitions() ** 0.5))
-    rows = parts.repartition(n).mapInArrow(_merged, "counts binary").coalesce(1).mapInArrow(_merged, "counts binary").collect()
+    rows = parts.repartition(n).mapInArrow(_merged(size), "counts binary").coalesce(1).mapInArrow(_merged(size), "counts binary").collect()
     found = list(pickle.loads(rows[0][0])) if rows else []
     one = Encoder(path, len)
     return {x: one.pieces[x] for x in found}
 
 
-def count_tokens(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, limit: int = LIMIT, path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs(doc_id, text)."""
     path = path or public_tokenizers.path(TOKENIZER)
     docs = docs.select("doc_id", "text")
-    known = docs.sparkSession.sparkContext.broadcast(frequent_pieces(docs, path))
+    known = docs.sparkSession.sparkContext.broadcast(frequent_pieces(docs, path, frequent))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, "count", len, known.value)

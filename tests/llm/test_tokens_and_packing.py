@@ -37,13 +37,19 @@ def test_both_encoders_agree_on_pieces():
             assert [i for p in own.parts("x " + piece) for i in p] == LIBRARY.encode("x " + piece, add_special_tokens=False).ids
 
 
-def test_the_table_changes_no_count(spark, make, monkeypatch):
+def test_the_table_changes_no_count(make):
     rows = [(i, f"some words {i} and more words") for i in range(300)]
-    counts = lambda: sorted(map(tuple, tokens.count_tokens(make(rows)).collect()))
-    want = counts()
-    for size in (0, 1, 100):
-        monkeypatch.setattr(tokens, "SAMPLE", size)
-        assert counts() == want
+    counts = lambda **kw: sorted(map(tuple, tokens.count_tokens(make(rows), **kw).collect()))
+    assert counts(frequent=0) == counts(frequent=4) == counts(frequent=100) == counts()
+
+
+def test_the_table_counts_whole_texts_of_all_documents(make):
+    """The pieces that only ends of long texts and last documents hold are in the table, if they are frequent there."""
+    rare = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(0, rare + " late" * 500), *((i, "plain text") for i in range(1, 400)), (400, "x" + " last" * 300)]
+    found = tokens.frequent_pieces(make(rows).coalesce(1), PATH, 16)
+    assert {"late", "last", "text"} <= found.keys() and len(found) <= 16
+    assert found == {x: len(LIBRARY.encode(" " + x, add_special_tokens=False).ids) for x in found}
 
 
 def test_counts(spark, make, texts):
