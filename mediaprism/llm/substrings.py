@@ -6,7 +6,7 @@ starts elsewhere, in the same document or another, is removed.
 Why no broadcast automata here: the reference shards are the whole corpus, so every shard's automaton would have to
 meet every document, which is quadratic in the input, and an automaton in Python takes hundreds of bytes a word (README
 has the figures).  Instead, matches are seeded by minimizers and verified by counting, which is linear and exact up to
-collisions of 128-bit hashes:
+collisions of 64-bit hashes (keys and contents come from the same word hashes, so two hashes together are no stronger):
 
 1. Each window has a key: the least hash of its ``gram``-word grams.  Equal windows have equal keys.  Consecutive windows
    with one key form a run; a document of n words has about 2n/29 runs.  One narrow row a run is counted by (key, content
