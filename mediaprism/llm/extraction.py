@@ -159,7 +159,7 @@ class _Maker:
     def comments(self) -> str:
         r = self.r
         one = lambda: self.wrap("div li article", "comment comment-body reply comment-item", (f"<h4>{self.words(1, 2)}</h4>" if r.random() < 0.4 else "") + "".join(f"<p>{self.words(3, 90)}</p>" for _ in range(r.randint(1, 3))) + (self.link("Reply") if r.random() < 0.5 else ""))
-        body = f"<h3>{self.words(1, 3)}</h3>" * (r.random() < 0.7) + "".join(one() for _ in range(r.randint(1, 7)))
+        body = f"<h3>{self.words(1, 3)}</h3>" * (r.random() < 0.7) + "".join(one() for _ in range(r.randint(1, 7) if r.random() < 0.75 else r.randint(8, 25)))
         if r.random() < 0.4:
             body += f"<form><label>{self.words(1, 3)}</label><textarea></textarea><button>{self.words(1, 1)}</button></form>"
         return self.wrap("div section ol aside", "comments comment-list commentlist disqus respond discussion", body)
@@ -169,6 +169,13 @@ class _Maker:
         r = self.r
         return r.choice([lambda: self.words(1, 8), lambda: f"<p>{self.words(2, 40)}</p>", lambda: self.links(2, 9), lambda: f"&copy; {self.words(1, 3)} &middot; {self.words(2, 12)}"])()
 
+    def bare(self, story: str) -> str:
+        """An article right in the body, alone or between a menu, a footer and comments."""
+        chance = self.r.random
+        before = self.wrap("nav div ul", "nav menu navigation", self.links(3, 9)) * (chance() < 0.4)
+        after = (self.comments() if chance() < 0.3 else "") + self.wrap("footer div", "footer copyright", self.plain()) * (chance() < 0.4)
+        return before + story + after if chance() < 0.5 else f"<html><body>{before}{story}{after}</body></html>"
+
     def page(self) -> str:
         r, chance = self.r, self.r.random
         some = lambda names, classes, inner: self.wrap(names, classes, inner)
@@ -180,6 +187,8 @@ class _Maker:
             head = f"<header>{head}</header>"
         if chance() < 0.25:
             head += self.wrap("div p span", "byline meta author post-meta date", self.words(2, 8))
+        if chance() < 0.06:
+            return self.bare(head * (chance() < 0.5) + "".join(blocks))
         body = head + "".join(blocks)
         if chance() < 0.2:
             body = self.wrap("div", "article-body entry-content post-content content text story-body", body)

@@ -25,6 +25,16 @@ def test_page(spark):
     assert extraction.extract(df.filter("page_id > 9")).count() == 0
 
 
+def test_articles_without_a_wrapper_and_under_many_comments():
+    trees, line = extraction.model(), "The committee met on Tuesday to discuss the new budget, and several members spoke about the need for more schools."
+    remark = f'<div class="comment"><p>{line} {line}</p></div>'
+    pages = {
+        f"<p>{line}</p><p>{line}</p>": f"{line}\n{line}",
+        f'<article><h1>A story</h1><p>{line}</p></article><section class="comments">{remark * 6}</section>': f"A story\n{line}",
+    }
+    assert extraction.main_texts(list(pages), trees) == list(pages.values())
+
+
 def test_held_out_pages():
     """Made-up pages of another seed: nearly all blocks are found, and no kept text lies below a dropped node."""
     maker, trees, same = extraction._Maker(1234), extraction.model(), 0
