@@ -96,7 +96,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         return fps.mapInPandas(rows, f"key bigint, {'b' if wide else 'a'} bigint")
 
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    pairs = keyed(False).join(keyed(True), "key").filter(near)
+    # Spark takes the keys for about as large as the fingerprints, though there are up to 48 of each: never to the driver
+    pairs = keyed(False).hint("merge").join(keyed(True).hint("merge"), "key").filter(near)
     return pairs.select("a", "b").distinct()
 
 

@@ -55,6 +55,12 @@ def test_no_link_is_lost(spark):
     assert {(x.a, x.b) for x in simhash.links(df).collect()} == want and want
 
 
+def test_keys_are_not_broadcast(spark):
+    """48 wide keys a fingerprint look like one to Spark; over 0.6 GB of documents the driver had no memory for them."""
+    plan = simhash.links(spark.range(2000).select(F.xxhash64("id").alias("fp")))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_documents(spark, make):
     long = " ".join(f"w{i}" for i in range(3000))
     texts = ["The cat sat on the mat today", "the CAT sat on\tthe mat  today", None, "", " \n ", "É a B", long, long + " x", long.replace("w7 ", "v7 "), "one", "one", "two words"]
