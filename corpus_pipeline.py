@@ -5,7 +5,8 @@ the last return the columns of documents.  The stages call the operators of ``me
 parameters:
 
 1. toxicity: documents that the classifier rejects go;
-2. near_dedup: of each group of near duplicates (five-word shingles, Jaccard 0.8) the document with the smallest id stays;
+2. near_dedup: of each group of near duplicates (five-word shingles, Jaccard 0.8; found by SimHash with Golay keys and by
+   MinHash) the document with the smallest id stays;
 3. substring_dedup: repeated passages are cut out of the texts; no document goes;
 4. mixing: documents come as often as the mix to the sources' target weights takes them;
 5. packing: the result has one row for each piece of a sequence.

@@ -1,11 +1,14 @@
-"""Near-duplicates by shingle similarity: MinHash buckets, exact Jaccard check, components.
+"""Near-duplicates by shingle similarity: SimHash classes and MinHash buckets, exact Jaccard check, components.
 
 A text's set holds the XXH64 hashes of its runs of five words (a shorter text is one run); texts with equal sets are one
 node.  Two nodes are linked if the Jaccard similarity of their sets is 0.8 or more; linked ones form components.
 
-Search: a node is in one bucket of each of 20 bands of five minima.  A pair at exactly 0.8 shares a bucket with probability
-0.9996, one at 0.9 with all but 1e-7; a pair that shares none is the only kind of link that can be lost.  No link is taken
-on the estimate: each is checked on the whole sets, in whole numbers.
+Search, first by the operator of ``simhash``: fingerprints of the five-word runs, repeats included, Golay keys, their join, the
+check on all 64 bits, components.  A component is a bucket, cut by the sets' sizes, so no pair within three bits is left
+unchecked.  Pairs at 0.8 differ in up to 11 bits, which those keys can't reach; for them a node is also in one bucket of each
+of 20 bands of five minima.  A pair at exactly 0.8 shares one with probability 0.9996, one at 0.9 with all but 1e-7; a pair
+that shares none and isn't joined by SimHash is the only kind of link that can be lost.  No link is taken on an estimate: each
+is checked on the whole sets, in whole numbers.
 
 A bucket of m nodes isn't compared pair by pair at once.  First each node is checked against one leader of each of its
 buckets, in a few rounds with other leaders; that joins the bulk of a large group in steps linear in m.  Then the nodes of a
@@ -20,7 +23,6 @@ Texts of any length are read whole.  An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import sliced, stored
 from .components import components
-from .simhash import first_rows
+from .simhash import classes, first_rows, majority, shingle_hashes
 
 SHINGLE, PERCENT, BANDS, ROWS, STARS, SEED = 5, 80, 20, 5, 3, 42
-_hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 _CHUNK = 256
 #: Nodes and shingles of a block, and columns that are multiplied at once.
 BLOCK_NODES, BLOCK_SHINGLES, _COLUMNS = 1024, 1 << 20, 2048
@@ -41,13 +42,7 @@ BLOCK_NODES, BLOCK_SHINGLES, _COLUMNS = 1024, 1 << 20, 2048
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's shingles in order."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(found) < shingle:
-        return np.array([_hash(b" ".join(found))], np.uint64)
-    runs = map(b" ".join, zip(*(found[i:] for i in range(shingle)), strict=False))
-    return np.unique(np.fromiter(map(_hash, runs), np.uint64, len(found) - shingle + 1))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def node_of(members: np.ndarray) -> int:
@@ -70,17 +65,34 @@ def buckets(members: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[i
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, node, size, buckets) for every row of docs(doc_id, text)."""
+    """(doc_id, text_hash, node, size, fp, buckets) for every row of docs(doc_id, text)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(2)]
-            nodes, sizes = pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())
-            near = pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, sizes, near], ["doc_id", "text_hash", "node", "size", "buckets"])
+            nodes, sizes, fps, near = [], [], [], []
+            for x in batch.column(2):
+                hashes = shingle_hashes(x.as_py(), shingle)
+                members = np.unique(hashes)
+                nodes.append(node_of(members))
+                sizes.append(len(members))
+                fps.append(majority(hashes))
+                near.append(buckets(members))
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(near, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "node", "size", "fp", "buckets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(made, f"doc_id {kind}, text_hash bigint, node bigint, size int, buckets array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(made, f"doc_id {kind}, text_hash bigint, node bigint, size int, fp bigint, buckets array<bigint>")
+
+
+def simhash_buckets(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, size, bucket) for every component of fingerprints and each two steps of sizes in it, over rows(node, size, fp).
+
+    Sets that are similar enough differ in size by a factor of 100 / percent at most, so they are in one step or in two that follow.
+    """
+    fps = stored(rows.filter("size > 0").select("node", "size", "fp").distinct(), "fps")
+    roots = stored(classes(fps.select("fp").distinct()), "classes")
+    step = F.floor(F.log("size") / F.log(F.lit(101 / percent)))
+    return fps.join(roots, "fp").select("node", "size", F.explode(F.array(*(F.xxhash64("root", step + i) for i in range(2)))).alias("bucket")).distinct()
 
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -183,7 +195,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """(doc_id, text_hash, root) for every row of docs(doc_id, text); root names the component."""
     rows = stored(sketches(docs, shingle), "sketches")
     nodes = rows.select("node", "size", "buckets").distinct()
-    spread = stored(nodes.select("node", "size", F.explode("buckets").alias("bucket")), "buckets")
+    spread = nodes.select("node", "size", F.explode("buckets").alias("bucket")).unionAll(simhash_buckets(rows, percent))
+    spread = stored(spread, "buckets")
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     crowded = stored(spread.join(shared, "bucket", "left_semi").select("bucket", "node", "size"), "crowded")
     narrow = rows.select("doc_id", "text_hash", "node")

@@ -35,18 +35,29 @@ _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text as an unsigned number."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles as they come, repeats included."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
-    shingles = list(map(b" ".join, zip(*(found[i:] for i in range(shingle)), strict=False))) or [b" ".join(found)]
+        return np.zeros(0, np.uint64)
+    if len(found) < shingle:
+        return np.array([_hash(b" ".join(found))], np.uint64)
+    runs = map(b" ".join, zip(*(found[i:] for i in range(shingle)), strict=False))
+    return np.fromiter(map(_hash, runs), np.uint64, len(found) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have, as an unsigned number; zero if there are none."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(shingles), _CHUNK):
-        part = shingles[at : at + _CHUNK]
-        hashes = np.fromiter(map(_hash, part), dtype=np.uint64, count=len(part))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text as an unsigned number."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -101,13 +112,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
+def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The distinct fingerprints fps(fp, ...) with their root, which names the component over links of ``max_bits`` bits."""
+    found = components(links(fps.select("fp"), max_bits)).select(F.col("node").alias("fp"), "component")
+    return fps.join(found, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id) for every row of docs(doc_id, text); root names the component."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     each = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(each.select("fp"), max_bits))
-    named = each.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = stored(named, "named")
+    named = stored(classes(each, max_bits), "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(named.select("fp", "root").join(ids, "root"), "roots")
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")

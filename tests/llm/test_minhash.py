@@ -61,6 +61,30 @@ def test_components_equal_brute_force(spark, make):
     assert minhash.keep_first(make([])).count() == 0
 
 
+def test_simhash_is_the_first_search(spark, make, tmp_path):
+    """Pairs at exactly 0.8 without a common MinHash bucket, which were lost, have equal fingerprints here."""
+    rows = []
+    for k in (3684, 13778):
+        head = "x " * 60 + " ".join(f"{c}{k}" for c in "abcdefg")
+        rows += [(k, f"{head} h{k}"), (k + 1, f"{head} i{k}")]
+        a, b = (minhash.shingle_set(t) for _, t in rows[-2:])
+        assert not set(minhash.buckets(a)) & set(minhash.buckets(b))
+    rows += [(1, "x " * 60 + "a b c d e f g"), (2, "x " * 60 + "h i j k l m n")]  # equal fingerprints, too, but not similar
+    assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1
+    kept = corpus_pipeline.near_dedup(spark, make(rows), str(tmp_path))
+    assert sorted(x.doc_id for x in kept.select("doc_id").collect()) == [1, 2, 3684, 13778]
+
+
+def test_simhash_classes_share_buckets(spark, make):
+    """Every two similar sets within one class share a bucket, whatever their sizes are."""
+    rows = [(i, i + 1, 7) for i in range(400)]
+    found = minhash.simhash_buckets(spark.createDataFrame(rows, "node bigint, size int, fp bigint")).collect()
+    by = {}
+    for x in found:
+        by.setdefault(x.size, set()).add(x.bucket)
+    assert all(by[a] & by[b] for a in by for b in by if 5 * a >= 4 * b and a <= b) and not by[100] & by[200]
+
+
 def test_blocks_of_a_drifting_group(spark, make, monkeypatch):
     """Near copies that drift apart, cut into many small blocks: the same components as all pairs give."""
     r, base = random.Random(11), [f"w{i}" for i in range(60)]
